@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tilewright.plans import problems
+from tilewright.plans import genome, problems
 
-MODULES = [problems]
+MODULES = [problems, genome]
 
 
 def queries() -> dict:
