@@ -7,8 +7,13 @@ import base64
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PAYLOAD = "struct<dense:string,dtype:string,size:int,min_value:double,max_value:double>"
+#: types are spelled out, as workers that import this module have no session to parse them
+PAYLOAD = T.StructType(
+    [T.StructField("dense", T.StringType()), T.StructField("dtype", T.StringType()), T.StructField("size", T.IntegerType())]
+    + [T.StructField(n, T.DoubleType()) for n in ("min_value", "max_value")]
+)
 
 
 def dense_payload(values: np.ndarray) -> dict:

@@ -9,6 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: types are spelled out, as workers that import this module have no session to parse them
+VARIANTS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("query_pos", "ref_pos")] + [T.StructField(n, T.StringType()) for n in ("base", "ref")]))
 
 _OP = r"([0-9]+)([A-Z=])"
 
@@ -18,7 +22,7 @@ def cigar_ops(cigar: Column) -> Column:
     text = F.coalesce(cigar, F.lit(""))
     lengths = F.regexp_extract_all(text, F.lit(_OP), F.lit(1))
     ops = F.regexp_extract_all(text, F.lit(_OP), F.lit(2))
-    return F.transform(F.arrays_zip(ops.alias("op"), lengths.alias("len")), lambda s: F.struct(s["0"].alias("op"), s["1"].cast("int").alias("len")))
+    return F.transform(F.arrays_zip(ops.alias("op"), lengths.alias("len")), lambda s: F.struct(s["op"].alias("op"), s["len"].cast("int").alias("len")))
 
 
 def cigar_substitutions(start: Column, span: Column, ops: Column) -> Column:
@@ -106,7 +110,7 @@ def mismatches(ref: str, read: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-@F.pandas_udf("array<struct<query_pos:int,ref_pos:int,base:string,ref:string>>")
+@F.pandas_udf(VARIANTS)
 def md_variants(seq: pd.Series, md: pd.Series, cigar: pd.Series) -> pd.Series:
     """Mismatches of reads with an MD tag; none without one."""
     return pd.Series(
@@ -196,7 +200,7 @@ def aligned_substitutions(ref: str, query: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def alignment_score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Global alignment score of two sequences; null if one is null."""
     for a, b in parts:

@@ -28,7 +28,8 @@ def balanced(pixels: DataFrame, bins: DataFrame, weight: str = "weight") -> Data
 
 def mirrored(pixels: DataFrame) -> DataFrame:
     """Both triangles of a matrix stored as its upper one."""
-    swapped = pixels.where("bin1_id <> bin2_id").withColumnsRenamed({"bin1_id": "bin2_id", "bin2_id": "bin1_id"})
+    others = [c for c in pixels.columns if c not in ("bin1_id", "bin2_id")]
+    swapped = pixels.where("bin1_id <> bin2_id").select(F.col("bin2_id").alias("bin1_id"), F.col("bin1_id").alias("bin2_id"), *others)
     return pixels.unionByName(swapped)
 
 

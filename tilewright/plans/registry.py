@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tilewright.plans import genome, problems
+from tilewright.plans import genome, problems, signals
 
-MODULES = [problems, genome]
+MODULES = [problems, genome, signals]
 
 
 def queries() -> dict:
