@@ -42,7 +42,10 @@ class Bpe:
         vocab = model["vocab"]
         reachable = {vocab[c] for c in symbols if c in vocab} | {vocab[a + b] for a, b in pairs}
         self.ids = {raw[t]: i for t, i in vocab.items() if i in reachable}
-        self.longest = max(map(len, self.ids))
+        #: longest token by first byte
+        self.longest = [0] * 256
+        for w in self.ids:
+            self.longest[w[0]] = max(self.longest[w[0]], len(w))
         size = max(vocab.values()) + 1
         self.size = size
         self.first, self.second = np.arange(size), np.arange(size)
@@ -65,7 +68,7 @@ class Bpe:
         """Greedy longest match from the left."""
         out, at, n, ids, longest = [], 0, len(word), self.ids, self.longest
         while at < n:
-            for end in range(min(n, at + longest), at, -1):
+            for end in range(min(n, at + longest[word[at]]), at, -1):
                 token = ids.get(word[at:end])
                 if token is not None:
                     out.append(token)
