@@ -44,6 +44,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--tile-size", type=int, default=256)
     p.add_argument("--method", choices=("sum", "logsumexp", "min", "max"), default="sum")
     p.add_argument("--row-infos")
+    p = command(convert, "bamfile_to_multivec")
+    p.add_argument("--base-resolution", type=int, default=1)
+    p.add_argument("--tile-size", type=int, default=256)
+    p = command(convert, "bedfile_to_hibed")
+    p.add_argument("--importance-column")
+    p.add_argument("--max-per-tile", type=int, default=256)
+    p = command(aggregate, "multivec")
+    p.add_argument("--tile-size", type=int, default=256)
+    p.add_argument("--starting-resolution", type=int, default=1)
+    p.add_argument("--method", choices=("sum", "logsumexp", "min", "max"), default="sum")
+    p.add_argument("--row-infos")
     command(convert, "tsv_to_mrmatrix", sizes=False).add_argument("--top-n", type=int)
     return top
 
@@ -64,6 +75,16 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "bedfile_to_multivec":
         infos = open(a.row_infos).read().splitlines() if a.row_infos else None
         stores.vectors_to_store(text.read_vectors(spark, a.input, a.num_rows), sizes, a.output, a.base_resolution, a.tile_size, a.method, infos)
+    elif a.command == "multivec":  # Parquet of chrom, start, values
+        infos = open(a.row_infos).read().splitlines() if a.row_infos else None
+        stores.vectors_to_store(spark.read.parquet(a.input), sizes, a.output, a.starting_resolution, a.tile_size, a.method, infos)
+    elif a.command == "bamfile_to_multivec":
+        from tilewright.sources.binary import read_bam
+
+        alignments = text.read_sam(spark, a.input) if a.input.endswith(".sam") else read_bam(spark, a.input)
+        stores.depths_to_store(alignments, sizes, a.output, a.base_resolution, a.tile_size)
+    elif a.command == "bedfile_to_hibed":
+        stores.bed_to_promoted_store(text.read_bed(spark, a.input), sizes, a.output, a.importance_column, a.max_per_tile)
     elif a.command == "tsv_to_mrmatrix":
         cells = text.read_matrix(spark, a.input, a.top_n)
         size = cells.agg({"row": "max"}).first()[0] + 1

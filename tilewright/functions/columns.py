@@ -181,3 +181,11 @@ FILE_TYPES = {
     "cool": "cooler", "mcool": "cooler", "mv5": "multivec", "hitile": "hitile", "beddb": "beddb", "bed2ddb": "bed2ddb", "json": "json", "geojson": "geojson",
     "csv": "csv", "tsv": "tsv", "sizes": "chromsizes",
 }
+
+
+def index_bins(start: Column, end: Column) -> Column:
+    """Numbers of all bins of the binning index (8 levels of 8, finest 16 kb) that [start, end) may lie in, 0 for the root."""
+    last = end - 1
+    levels = [(1, 26), (9, 23), (73, 20), (585, 17), (4681, 14)]
+    parts = [F.sequence(F.lit(first) + F.shiftright(start, s), F.lit(first) + F.shiftright(last, s)) for first, s in levels]
+    return F.when(end > start, F.flatten(F.array(F.array(F.lit(0).cast("bigint")), *parts))).otherwise(F.array().cast("array<bigint>"))

@@ -205,3 +205,39 @@ def alignment_score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
     """Global alignment score of two sequences; null if one is null."""
     for a, b in parts:
         yield pd.Series([None if x is None or y is None else global_alignment(x, y)[0] for x, y in zip(a, b)], dtype="float64")
+
+
+def cluster_order(distances: np.ndarray) -> list[int]:
+    """Leaves in the order of an average-linkage tree; of equal distances the first pair is joined. For the few sequences of one view."""
+    d = np.array(distances, float)
+    n = len(d)
+    np.fill_diagonal(d, np.inf)
+    groups = {i: [i] for i in range(n)}
+    while len(groups) > 1:
+        i, j = np.unravel_index(int(np.argmin(d)), d.shape)
+        a, b = len(groups[i]), len(groups[j])
+        merged = (d[i] * a + d[j] * b) / (a + b)
+        d[i], d[:, i] = merged, merged
+        d[i, i] = np.inf
+        d[j], d[:, j] = np.inf, np.inf
+        groups[i] += groups.pop(j)
+    return next(iter(groups.values()), [])
+
+
+def base_depths(reads, group: str = "chrom"):
+    """(group, row, lo, hi, depth) of reads (pos 1-based, cigar, seq): depth of the bases A, T, G, C and of S, M, I and D, in stretches."""
+    from tilewright.operators.signal import coverage
+
+    spans = reads.withColumn("_o", F.explode(covered_spans(F.col("pos") - 1, cigar_ops(F.col("cigar")))))
+    kinds = spans.where(F.col("_o.op").isin("S", "M", "I", "D")).select(group, F.col("_o.op").alias("row"), F.col("_o.lo").alias("lo"), F.col("_o.hi").alias("hi"))
+    # aligned bases: each operation with its place in the read
+    state = F.struct(F.lit(0).alias("q"), F.array().cast("array<struct<op:string,q:int,len:int>>").alias("out"))
+    step = lambda acc, o: F.struct(
+        (acc["q"] + F.when(o["op"].isin("M", "=", "X", "I", "S"), o["len"]).otherwise(F.lit(0))).alias("q"),
+        F.concat(acc["out"], F.array(F.struct(o["op"].alias("op"), acc["q"].alias("q"), o["len"].alias("len")))).alias("out"),
+    )
+    placed = reads.select(group, "seq", F.arrays_zip(covered_spans(F.col("pos") - 1, cigar_ops(F.col("cigar"))).alias("ref"), F.aggregate(cigar_ops(F.col("cigar")), state, step, lambda acc: acc["out"]).alias("own")).alias("_z"))
+    one = placed.select(group, "seq", F.explode("_z").alias("_z")).where(F.col("_z.own.op").isin("M", "=", "X"))
+    letters = one.select(group, F.col("_z.ref.lo").alias("_lo"), F.posexplode(F.split(F.upper(F.substr("seq", F.col("_z.own.q") + 1, F.col("_z.own.len"))), "")).alias("_i", "row"))
+    bases = letters.where(F.col("row").isin("A", "T", "G", "C")).select(group, "row", (F.col("_lo") + F.col("_i")).alias("lo"), (F.col("_lo") + F.col("_i") + 1).alias("hi"))
+    return coverage(kinds.unionByName(bases), [group, "row"], "lo", "hi")

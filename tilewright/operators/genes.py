@@ -122,3 +122,32 @@ def top_genes_with_parts(df: DataFrame, cap: int) -> DataFrame:
     genes = _entities(f, GENES + PSEUDOGENES).select(F.col("id").alias("gene_id"), (F.col("hi") - F.col("lo")).alias("_span"))
     best = genes.orderBy(F.col("_span").desc(), F.col("gene_id").desc()).limit(cap).select("gene_id")
     return parts_with_genes(f).join(best, "gene_id", "left_semi").select("gene_id", "kind", "lo", "hi")
+
+
+def gene_predictions(df: DataFrame) -> DataFrame:
+    """(line): a genePred line a transcript: name, chrom, strand, span, coding span (its end twice if there is none), exon count, starts and ends."""
+    f = features(df)
+    parts = parts_with_genes(f).where("transcript_id is not null")
+    genes = _entities(f, GENES + PSEUDOGENES).select(F.col("id").alias("parent"), "chrom", "strand")
+    owners = _entities(f, TRANSCRIPTS).select(F.col("id").alias("transcript_id"), "parent", "lo", "hi").join(genes, "parent")
+    m = _models(owners, parts, "transcript_id")
+    coding = F.coalesce("cds_lo", "hi").cast("string"), F.coalesce("cds_hi", "hi").cast("string")
+    columns = ["transcript_id", "chrom", F.coalesce("strand", F.lit(".")), F.col("lo").cast("string"), F.col("hi").cast("string"), *coding, F.size("_exons").cast("string")]
+    return m.select(F.concat_ws("\t", *columns, F.concat(_listed("lo"), F.lit(",")), F.concat(_listed("hi"), F.lit(","))).alias("line"))
+
+
+def with_missing_owners(df: DataFrame) -> DataFrame:
+    """Features (type, id, parent, chrom, lo, hi, strand) with a gene, a transcript and exons made up for coding parts that name no known parent.
+
+    All parts of one absent parent share them: the transcript is called like the parent, the gene like it with ``gene:`` in front.
+    """
+    orphans = df.where((F.col("type") == "CDS") & F.col("parent").isNotNull())
+    orphans = orphans.join(df.where(F.col("id").isNotNull()).select(F.col("id").alias("parent")).distinct(), "parent", "left_anti")
+    spans = orphans.groupBy("parent").agg(F.first("chrom").alias("chrom"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("strand").alias("strand"))
+    gene = F.concat(F.lit("gene:"), F.col("parent"))
+    shape = lambda d, kind, own, of: d.select(F.lit(kind).alias("type"), own.alias("id"), of.alias("parent"), "chrom", "lo", "hi", "strand")
+    none = F.lit(None).cast("string")
+    genes = shape(spans, "gene", gene, none)
+    transcripts = shape(spans, "mRNA", F.col("parent"), gene)
+    exons = shape(orphans, "exon", none, F.col("parent"))
+    return df.select("type", "id", "parent", "chrom", "lo", "hi", "strand").unionByName(genes).unionByName(transcripts).unionByName(exons)

@@ -137,3 +137,38 @@ def pixels_to_store(pixels: DataFrame, path: str, resolutions: list[int], base:
     write_store(all_levels, path, info, "resolution", ["bin1_id", "bin2_id"])
     weights.write.mode("overwrite").parquet(f"{path}/weights")
     return info
+
+
+#: rows of a depth store
+DEPTH_ROWS = ("A", "T", "G", "C", "S", "M", "I", "D")
+
+
+def depths_to_store(alignments: DataFrame, chromsizes: Chromsizes, path: str, base: int = 1, tile_size: int = 256) -> TilesetInfo:
+    """Summed depths of bases and operations of aligned reads, as multi-row vectors. Stretches of equal depth are binned without expanding bases."""
+    from tilewright.functions.reads import base_depths
+    from tilewright.functions.columns import is_primary
+
+    depths = base_depths(alignments.where(is_primary(F.col("flag"))).where(F.col("chrom").isin(*chromsizes.names)))
+    number = F.create_map(*[F.lit(v) for i, r in enumerate(DEPTH_ROWS) for v in (r, i)])
+    hit = signal.spread(depths, "lo", "hi", base)
+    long = hit.groupBy("chrom", number[F.col("row")].alias("row"), "bin").agg(F.sum(F.col("depth") * F.col("bases")).cast("double").alias("value"))
+    widest = max(chromsizes.lengths)
+    levels = max(1, (-(-widest // (base * tile_size)) - 1).bit_length() + 1)
+    info = TilesetInfo(tile_size=tile_size, resolutions=tuple(base << k for k in range(levels)), chromsizes=tuple(zip(chromsizes.names, chromsizes.lengths)), extra={"row_infos": list(DEPTH_ROWS)})
+    write_store(signal.vector_pyramid(long, ["chrom", "row"], "bin", "value", "sum", levels), path, info, "level", ["chrom", "bin"])
+    return info
+
+
+def bed_to_promoted_store(bed: DataFrame, chromsizes: Chromsizes, path: str, importance: str | int | None = "random", max_per_tile: int = 256) -> TilesetInfo:
+    """Lines that climb from their own zoom to coarser tiles with room, contig by contig, most important first."""
+    from tilewright.runtime import Cut
+
+    rows = bed.join(chromsizes.frame(bed.sparkSession), "chrom").withColumn("line", F.concat_ws("\t", "chrom", "start", "end", "rest"))
+    rows = importance_of(rows.withColumn("fields", F.split("line", "\t")), importance, "end - start", ["line"])
+    rows = Cut(rows.withColumn("_n", F.monotonically_increasing_id()), "lines").df
+    order = F.struct((-F.col("importance")).alias("i"), F.col("_n").alias("n"))
+    entries = placement.chrom_level_entries(rows.withColumn("_o", order), "start", "end", "len", "_o")
+    found = Cut(placement.promote(entries, max_per_tile).select("chrom", "zoom", "tile", F.col("seq._o.i").alias("rank"), F.col("seq._o.n").alias("seq"), "line"), "promoted").df
+    info = TilesetInfo(tile_size=1, max_zoom=found.agg(F.max("zoom")).first()[0] or 0, chromsizes=tuple(zip(chromsizes.names, chromsizes.lengths)), extra={"max_per_tile": max_per_tile})
+    write_store(found.drop("rank"), path, info, "zoom", ["chrom", "tile"])
+    return info
