@@ -228,3 +228,10 @@ def test_blocks(spark):
             want_lead.append((g, o, v, own[i + 1][1] if i + 1 < len(own) else None))
     assert rows(block_running_sum(df, ["g"], "o", "v", "s", 3)) == sorted(want_sum, key=repr)
     assert rows(block_lead(df, ["g"], "o", "v", "n", 3)) == sorted(want_lead, key=repr)
+
+
+def test_parents_in_long_texts(spark):
+    pad = 'k "v; gene_id no";' * 20000
+    rows_ = [("x", pad + 'gene_id "g"', "g"), ("x", "a=b;" * 50000 + "Parent=p", "p"), ("x", '"' * 50001, None), ("x", "tag;;" * 20000 + ' gene_id  g ; x "y"', "g"), ("x", 'gene_ids "no"; gene_id "yes"', "yes")]
+    df = spark.createDataFrame(rows_, "type string, attributes string, want string").withColumn("got", parent_of(F.col("attributes"), F.col("type")))
+    assert [r["got"] for r in df.collect()] == [w for _, _, w in rows_]

@@ -9,39 +9,39 @@ from pyspark.sql import functions as F
 TRANSCRIPT_PARTS = ("exon", "CDS")
 PARENTLESS = ("gene", "pseudogene")
 
-#: One ``tag "value"`` pair: the value runs to the closing quote, or, unquoted, to the next semicolon.
-_QUOTED_PAIR = r'\s*([^\s;"=]+)\s+(?:"([^"]*)"|([^;"]*))\s*(?:;|\z)'
+_BLANK = " \t\r\n"
+_EQUALS_DIALECT = r'\A[\s;]*+[^;="]*+='
+_EQUALS_PARENT = r"(?:\A|;)[ \t\r\n]*+Parent[ \t\r\n]*+=([^;]*+)"
+
+
+def _quoted_value(attributes: Column, tag: str) -> Column:
+    """The value of the first pair with this tag; semicolons and tags inside quotes are content. Loops are possessive, so long texts need no stack."""
+    pattern = rf'\A(?:(?!\s*+{tag}\s)(?:"[^"]*+"|[^;"]++)*+;)*+\s*+{tag}\s++("[^"]*+"|[^;"]*+)'
+    return F.btrim(F.replace(F.regexp_extract(attributes, pattern, 1), F.lit('"'), F.lit("")), F.lit(_BLANK))
 
 
 def _percent_decoded(c: Column) -> Column:
     """``%XX`` stands for its byte; ``+`` and a lone ``%`` stay as they are."""
     guarded = F.regexp_replace(F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
-    return F.when(c.contains("%"), F.coalesce(F.try_url_decode(guarded), c)).otherwise(c)
+    return F.coalesce(F.try_url_decode(guarded), c)
 
 
 def parent_of(attributes: Column, kind: Column) -> Column:
     """The parent's id, null where the feature names none.
 
-    A text is in the ``tag=value`` dialect if its first pair has a ``=`` before any quote or blank-separated value.
-    There the parent is the value of ``Parent`` (the first one, if it is given twice). In the other dialect it is
-    ``transcript_id`` for exon and CDS, nothing for gene and pseudogene and ``gene_id`` otherwise. Null or empty
-    attributes and an empty value name no parent; a null type counts as any other type.
+    A text is in the ``tag=value`` dialect if its first pair has a ``=`` before any quote. There the parent is the value of
+    ``Parent`` (the first one, if it is given twice). In the other dialect it is ``transcript_id`` for exon and CDS, nothing for
+    gene and pseudogene and ``gene_id`` otherwise. Null or empty attributes and an empty value name no parent; a null type
+    counts as any other type.
     """
-    blank = " \t\r\n"
-    equals_dialect = attributes.rlike(r'\A[\s;]*[^;="]*=')
-    pairs = F.split(attributes, ";")
-    tagged = F.filter(pairs, lambda p: F.btrim(F.substring_index(p, "=", 1), F.lit(blank)) == "Parent")
-    tagged = F.filter(tagged, lambda p: p.contains("="))
-    first = F.get(tagged, F.lit(0))
-    value = _percent_decoded(F.btrim(first.substr(F.instr(first, "=") + 1, F.length(first)), F.lit(blank)))
-    tag = F.when(kind.isin(*TRANSCRIPT_PARTS), F.lit("transcript_id")).when(kind.isin(*PARENTLESS), F.lit(None).cast("string")).otherwise(F.lit("gene_id"))
-    tags = F.regexp_extract_all(attributes, F.lit(_QUOTED_PAIR), F.lit(1))
-    quoted = F.regexp_extract_all(attributes, F.lit(_QUOTED_PAIR), F.lit(2))
-    bare = F.regexp_extract_all(attributes, F.lit(_QUOTED_PAIR), F.lit(3))
-    at = F.array_position(tags, tag) - 1
-    other = F.when(at >= 0, F.btrim(F.concat(F.get(quoted, at), F.get(bare, at)), F.lit(blank)))
-    found = F.when(equals_dialect, value).otherwise(other)
-    return F.when(found != "", found)
+    value = F.btrim(F.regexp_extract(attributes, _EQUALS_PARENT, 1), F.lit(_BLANK))
+    value = F.when(attributes.contains("%"), _percent_decoded(value)).otherwise(value)
+    other = (
+        F.when(kind.isin(*TRANSCRIPT_PARTS), _quoted_value(attributes, "transcript_id"))
+        .when(kind.isin(*PARENTLESS), F.lit(None).cast("string"))
+        .otherwise(_quoted_value(attributes, "gene_id"))
+    )
+    return F.nullif(F.when(attributes.rlike(_EQUALS_DIALECT), value).otherwise(other), F.lit(""))
 
 
 def with_parent(df: DataFrame) -> DataFrame:
