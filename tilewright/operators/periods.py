@@ -29,18 +29,12 @@ def periods_and_gaps(df: DataFrame, group: list[str], lo: str, hi: str, bits: in
     iv = df.where(F.col(lo).isNotNull() & F.col(hi).isNotNull()).select(
         *[encoded(g).alias(n) for g, n in zip(group, names)], F.col(lo).cast("long").alias("_lo"), F.col(hi).cast("long").alias("_hi")
     )
-    bounds = F.array(
-        F.struct(F.lit(False).alias("end"), F.col("_lo").alias("v")), F.struct(F.lit(True).alias("end"), F.col("_hi").alias("v"))
-    )
-    runs = (
-        iv.select(*names, F.explode(bounds).alias("_b"))
-        .select(*names, F.col("_b.end").alias("_end"), F.col("_b.v").alias("_v"))
-        .groupBy(*names, "_end", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ranked = block_running_sum(runs, [*names, "_end"], "_v", "_n", "_rank", bits)
-    starts = ranked.where(~F.col("_end")).select(*names, (F.col("_rank") - F.col("_n")).alias("_at"), F.col("_v").alias("_s"))
-    ends = ranked.where(F.col("_end")).select(*names, F.col("_rank").alias("_at"), F.col("_v").alias("_e"))
+    ranks = {}
+    for bound in ("_lo", "_hi"):
+        runs = iv.groupBy(*names, F.col(bound).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        ranks[bound] = block_running_sum(runs, names, "_v", "_n", "_rank", bits)
+    starts = ranks["_lo"].select(*names, (F.col("_rank") - F.col("_n")).alias("_at"), F.col("_v").alias("_s"))
+    ends = ranks["_hi"].select(*names, F.col("_rank").alias("_at"), F.col("_v").alias("_e"))
     breaks = (
         starts.join(ends, [*names, "_at"])
         .where(F.col("_s") > F.col("_e"))
