@@ -52,8 +52,9 @@ def test_geo_images_and_logos(spark, put, tmp_path):
     images = spark.createDataFrame([(0, 0, 0, bytearray(b"png"))], "z int, x long, y long, image binary")
     assert dict(more.ImageTileset(spark, images, 2).tiles(["u.0.0.0", "u.1.1.1"])) == {"u.0.0.0": b"png", "u.1.1.1": None}
     seqs = spark.createDataFrame([("AC",), ("AG",), ("A-",)], "seq string")
-    w = decode_dense(more.LogoTileset(spark, seqs, 2, tile_size=2).tiles(["u.0.0"])[0][1]).reshape(4, 2)
-    assert w[0, 0] == 1 and w[1, 1] == 0.5 and w[2, 1] == 0.5
+    ((name, payload),) = more.LogoTileset(spark, seqs, 2, tile_size=2).all_tiles("u")
+    w = decode_dense(payload).reshape(4, 2)
+    assert name == "u.0.0" and w[0, 0] == 1 and w[1, 1] == 0.5 and w[2, 1] == 0.5
 
 
 def test_pileup(spark):

@@ -48,6 +48,15 @@ class Tileset(ABC):
                 out[t.raw] = got.get((t.z, *t.pos), self.empty(t))
         return [(i, out[i]) for i in ids]
 
+    def all_tiles(self, uid: str = "tile", max_zoom: int | None = None) -> list[tuple[str, object]]:
+        """Every tile up to a zoom level (by default all levels), for small tilesets that are shipped whole."""
+        top = self._info.num_zoom_levels - 1 if max_zoom is None else max_zoom
+        ids = []
+        for z in range(top + 1):
+            n = self._info.canvas(z).n_tiles
+            ids += [f"{uid}.{z}.{x}" for x in range(n)] if self.ndim == 1 else [f"{uid}.{z}.{x}.{y}" for x in range(n) for y in range(n)]
+        return self.tiles(ids)
+
     def batch_options(self, options: dict | None) -> dict:
         if options:
             raise MalformedTileId(f"this tileset knows no options, not {sorted(options)}")

@@ -13,8 +13,9 @@ from tilewright.model.errors import TileOutOfBounds
 from tilewright.model.info import TilesetInfo
 from tilewright.model.policies import TilePolicy
 from tilewright.model.tileid import TileId
+from tilewright.operators.overlap import with_tiles
 from tilewright.operators.pairs import position_weights
-from tilewright.operators.ranking import cap_per_group, evenly_spaced
+from tilewright.operators.ranking import cap_per_group
 from tilewright.tilesets.base import Tileset
 from tilewright.tilesets.dense import DenseTileset
 
@@ -115,18 +116,18 @@ class LabelTileset(Tileset):
         self.labels, self.n = labels, n
 
     def fetch(self, places, widths, modifier, settings):
-        size, out = self._info.tile_size, {}
-        for r in places.collect():
-            lo, hi = r["x"] * widths[r["z"]], min(self.n, (r["x"] + 1) * widths[r["z"]])
-            if lo >= hi:
-                continue
-            here = self.labels.where(F.col("index").between(lo, hi - 1))
-            if "importance" in self.labels.columns:
-                best = here.orderBy(F.col("importance").desc(), F.col("index").desc()).limit(size)
-            else:
-                best = evenly_spaced(here, "index", lo, hi, size).orderBy("slot").withColumn("importance", F.lit(0.0))
-            out[r["z"], r["x"]] = [{"x": b["index"], "label": b["label"], "importance": b["importance"]} for b in best.collect()]
-        return out
+        size = self._info.tile_size
+        width = F.create_map(*[F.lit(v) for z, w in widths.items() for v in (z, w)])[F.col("z")].cast("bigint")
+        spans = places.select("z", "x", (F.col("x") * width).alias("_lo"), F.least(F.lit(self.n), (F.col("x") + 1) * width).alias("_hi")).where("_lo < _hi")
+        if "importance" in self.labels.columns:
+            hit = with_tiles(self.labels.withColumn("_end", F.col("index") + 1), widths, "index", "_end").join(spans, ["z", "x"])
+            best = cap_per_group(hit, ["z", "x"], size, F.col("importance").desc(), F.col("index").desc(), rank="slot")
+        else:  # both ends and evenly between, a label more than once if there are few
+            step = (F.col("_hi") - 1 - F.col("_lo")) / max(1, size - 1)
+            picks = spans.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("index", F.floor(F.col("_lo") + F.col("slot") * step))
+            best = picks.join(self.labels, "index").withColumn("importance", F.lit(0.0))
+        found = self.grouped(best.select("z", "x", "slot", "index", "label", "importance"), "slot")
+        return {p: [{"x": r["index"], "label": r["label"], "importance": r["importance"]} for r in rows] for p, rows in found.items()}
 
     def empty(self, t: TileId):
         return []
