@@ -210,16 +210,17 @@ def alike_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", salts
     gives no rows.
     """
     docs = Cut(_digests(df, doc_id, text), "forms").df
-    variants = docs.groupBy("_form", "_text").agg(F.lit(1).alias("_one")).drop("_one")
-    several = variants.groupBy("_form").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_form")
+    variants = docs.groupBy("_form", "_text").agg(F.count(F.lit(1)).alias("_n"))
+    several = variants.groupBy("_form").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("_form")
     variants = variants.join(several, "_form")
-    other = variants.select("_form", F.col("_text").alias("_other"))
-    pairs = variants.join(other, "_form").where("_text < _other").select("_text", "_other")
+    other = variants.select("_form", F.col("_text").alias("_other"), F.col("_n").alias("_m"))
+    # the text with more copies comes first: its documents are spread over the salts, those of the other go to each salt
+    pairs = variants.join(other, "_form").where("_n > _m or _n = _m and _text < _other").select("_text", "_other")
+    each = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     members = docs.select("_text", F.col("doc_id").alias("_a"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("_salt"))
-    salted = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = members.join(salted, ["_text", "_salt"]).select("_other", "_a", "_salt")
-    right = docs.select(F.col("_text").alias("_other"), F.col("doc_id").alias("_b"))
-    both = left.drop("_salt").join(right, "_other")
+    left = members.join(pairs.withColumn("_salt", each), ["_text", "_salt"]).select("_other", "_salt", "_a")
+    few = docs.select(F.col("_text").alias("_other"), F.col("doc_id").alias("_b")).join(pairs.select("_other").distinct(), "_other")
+    both = left.join(few.withColumn("_salt", each), ["_other", "_salt"])
     return both.select(F.least("_a", "_b").alias("doc_a"), F.greatest("_a", "_b").alias("doc_b")).distinct()
 
 
