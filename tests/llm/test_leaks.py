@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tilewright.llm.leaks import align, leaks, words
+from tilewright.llm.leaks import align, alignments, leaks, words
 from tilewright.llm.lookalike import Rewriter, representatives
 
 
@@ -61,3 +61,40 @@ def test_edited_copies_and_empty_tables(spark):
     assert leaks(docs.where("false"), bench).collect() == [] and leaks(docs, bench.where("false")).collect() == []
     with pytest.raises(ValueError):
         leaks(docs, bench.union(bench), max_items=1)
+
+
+def test_edited_copies_against_brute_force(spark):
+    rnd = random.Random(5)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(n))) for i, n in enumerate((1, 2, 3, 4, 5, 6, 7, 8, 10, 13, 15, 20, 20, 35, 60))]
+    items += [(90, None), (91, ""), (92, "w1 w1 w1 w1 w1 w1")]
+    docs = []
+    for i in range(250):
+        copy = []
+        for w in rnd.choice(items[:15])[1].split():
+            kind = rnd.random() * 1.8 if i % 2 else rnd.random() + 0.07
+            copy += [] if kind < 0.04 else ["other"] if kind < 0.1 else [w, "other"] if 1 < kind < 1.35 else [w]
+        around = [[rnd.choice(vocab) for _ in range(rnd.randint(0, 30))] for _ in range(2)]
+        docs.append((i, " ".join(around[0] + copy + around[1])))
+    spread = items[11][1].split()  # the longest copy that may be missed: an insertion after every second word
+    docs += [(500, None), (501, ""), (502, " ".join(w + " other" * (k % 2 and k < 16) for k, w in enumerate(spread)))]
+    spaced = items[12][1].split()
+    spaced[6] = spaced[13] = "other"  # the example of the review
+    docs.append((503, " ".join(spaced)))
+    want = []
+    for d, t in docs:
+        for i, u in items:
+            if t and u:
+                score, run = plain_alignment(words(t), words(u))
+                if score / (2 * len(words(u))) >= 0.8:
+                    want.append((d, i, score, run))
+    got = alignments(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["score"], r["run"]) for r in got.collect()) == sorted(want)
+    assert {(502, 11), (503, 12)} <= {w[:2] for w in want} and sum(w[1] > 6 and w[1] < 90 for w in want) > 60
+
+
+def test_alignments_of_empty_tables_and_low_shares(spark):
+    docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(7, "a b")], "item_id long, text string")
+    assert alignments(docs.where("false"), bench).collect() == [] and alignments(docs, bench.where("false")).collect() == []
+    with pytest.raises(ValueError):
+        alignments(docs, bench, share=0.7)

@@ -6,6 +6,9 @@
    (``min_words`` successive words) takes its rarest n-gram as its seed; a copy of a window holds the window's seed.
 3. Seeds join documents to items. Each pair is aligned by Smith-Waterman on words over the region around its seeds, which
    gives the score of edited copies and, from the same table, the longest run of successive equal words.
+
+The rarest n-gram of a window is often one that an edit broke, so seeds find whole windows, not edited copies. These are
+found by a count instead (``alignments``): an alignment near a full match must keep a number of the item's word pairs.
 """
 
 from __future__ import annotations
@@ -206,3 +209,120 @@ def leaks(
     return pairs.select(
         "doc_id", F.col("item_id").cast(item_kind).alias("item_id"), "score", (F.col("score") / (MATCH * F.col("item_words"))).alias("similarity"), "run", "item_words"
     )
+
+
+@dataclass
+class Pairs:
+    """The pairs of successive words of the items (of items of one word, that word), as sorted keys with their items.
+
+    An alignment of ``a`` equal words and ``e`` mismatches and gaps has the score 2a - e, with a <= m, the item's words.
+    If the score is ``least`` or more, then e <= 2a - least. The equal words stand in e + 1 runs at most, so a - e - 1 >=
+    least - m - 1 pairs of successive item words stand in the document, on a + e <= 3m - least of its words.
+    """
+
+    keys: np.ndarray
+    #: items of pair ``g``: ``items[bounds[g] : bounds[g + 1]]``; pairs of item ``k``: ``own[k]``
+    bounds: np.ndarray
+    items: np.ndarray
+    own: list[np.ndarray]
+    least: np.ndarray
+    need: np.ndarray
+    span: np.ndarray
+    base: int
+    single: bool
+
+    @classmethod
+    def of(cls, items: Items, share: float) -> Pairs:
+        if not 0.75 < share <= 1:
+            raise ValueError("below a share of 0.75 an alignment need not keep a pair of words")
+        base = len(items.vocabulary) + 1
+        raw = [np.unique(c[:-1].astype(np.int64) * base + c[1:] if len(c) > 1 else c.astype(np.int64)) for c in items.coded]
+        keys = np.unique(np.concatenate([np.zeros(0, np.int64), *raw]))
+        own = [np.searchsorted(keys, r) for r in raw]
+        pair = np.concatenate([np.zeros(0, np.int64), *own])
+        item = np.repeat(np.arange(len(own)), [len(o) for o in own])
+        size = np.array([len(c) for c in items.coded], np.int64)
+        least = np.floor(MATCH * share * size).astype(np.int64) - 1
+        while (low := (size > 0) & (least / np.maximum(MATCH * size, 1) < share)).any():
+            least[low] += 1
+        bounds = np.searchsorted(np.sort(pair), np.arange(len(keys) + 1))
+        need, span = np.maximum(1, least - size - 1), np.maximum(1, 3 * size - least)
+        return cls(keys, bounds, item[np.argsort(pair, kind="stable")], own, least, need, span, base, bool((size == 1).any()))
+
+    def held(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a document, sorted, and their places."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known = doc > 0
+        at = np.flatnonzero(known[:-1] & known[1:])
+        key = doc[at].astype(np.int64) * self.base + doc[at + 1]
+        if self.single:
+            alone = np.flatnonzero(known)
+            at, key = np.concatenate([at, alone]), np.concatenate([key, doc[alone].astype(np.int64)])
+        g = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[g] == key
+        g, at = g[hit], at[hit]
+        order = np.argsort(g, kind="stable")
+        return g[order], at[order]
+
+    def candidates(self, doc: np.ndarray) -> Iterator[int]:
+        """Every item that a document may hold with the score ``least`` or more."""
+        g, at = self.held(doc)
+        if not len(g):
+            return
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        distinct, times = g[first], np.diff(np.concatenate([first, [len(g)]]))
+        length = self.bounds[distinct + 1] - self.bounds[distinct]
+        entry = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(self.bounds[distinct], length)
+        total = np.bincount(self.items[entry], np.repeat(times, length), len(self.own))
+        for k in np.flatnonzero(total >= self.need).tolist():
+            lo, hi = np.searchsorted(g, self.own[k]), np.searchsorted(g, self.own[k], "right")
+            places = np.sort(np.concatenate([at[a:b] for a, b in zip(lo.tolist(), hi.tolist())]))
+            n = int(self.need[k]) - 1
+            if (places[n:] - places[: len(places) - n] < self.span[k]).any():
+                yield k
+
+
+def alignments(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    share: float = 0.8,
+    doc_id: str = "doc_id",
+    item_id: str = "item_id",
+    text: str = "text",
+    max_items: int = 20_000,
+) -> DataFrame:
+    """(doc_id, item_id, score, similarity, run, item_words) of every document and item whose best local alignment is
+    ``share`` of a full match or more, edited copies included; none is lost.
+
+    Columns, words and the treatment of nulls and empty texts are those of ``leaks``; ``score`` and ``run`` are of the
+    whole document.
+    """
+    spark = documents.sparkSession
+    items = Items.load(benchmark, item_id, text, 1, max_items)
+    shared = spark.sparkContext.broadcast((items, Pairs.of(items, share)))
+    doc_kind, item_kind = dict(documents.dtypes)[doc_id], dict(benchmark.dtypes)[item_id]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (items, pairs), form = shared.value, Rewriter(representatives()).form
+        for batch in batches:
+            out: list[tuple] = []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if i is None or not t:
+                    continue
+                doc = items.code(words(form(t)))
+                for k in pairs.candidates(doc):
+                    best, run = align(doc, items.coded[k])
+                    if best >= pairs.least[k]:
+                        out.append((i, items.ids[k], best, run, len(items.coded[k])))
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:])],
+                names=["doc_id", "item_id", "score", "run", "item_words"],
+            )
+
+    texts = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = texts.mapInArrow(score, f"doc_id {doc_kind}, item_id bigint, score int, run int, item_words int")
+    return found.select(
+        "doc_id", F.col("item_id").cast(item_kind).alias("item_id"), "score", (F.col("score") / (MATCH * F.col("item_words"))).alias("similarity"), "run", "item_words"
+    )

@@ -31,7 +31,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_alignments(spark: SparkSession, d: str) -> DataFrame:
     """Documents and items with a local alignment of 0.8 of a full match, edited copies included."""
-    return _leaks(spark, d).where("similarity >= 0.8").select("doc_id", "item_id", "score", F.round("similarity", 6).alias("similarity"), "run")
+    found = leaks.alignments(table(spark, d, "documents"), table(spark, d, "benchmark"), 0.8)
+    return found.select("doc_id", "item_id", "score", F.round("similarity", 6).alias("similarity"), "run")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
