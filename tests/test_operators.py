@@ -11,6 +11,7 @@ from tilewright.functions import encode, reads
 from tilewright.model.coords import Chromsizes, GenomicRange
 from tilewright.model.policies import LinkPolicy, drops
 from tilewright.operators import contacts, overlap, pairs, placement, ranking, signal
+from tilewright.plans import signals
 
 TINY = Chromsizes([("c1", 1000), ("c2", 200)])
 
@@ -157,6 +158,23 @@ def test_alignment():
     assert [(s["pos"], s["type"], s["length"]) for s in reads.aligned_substitutions("AC--GTA", "ATGG--A")] == [(2, "X", 1), (3, "I", 2), (3, "D", 2)]
 
 
+def test_alignment_scores_equal_the_sequential_form():
+    rnd = random.Random(6)
+    a, b = (["".join(rnd.choice("ACGN") for _ in range(rnd.choice((0, 1, 2, 9, 24)))) for _ in range(120)] for _ in range(2))
+    want = [reads.global_alignment(x, y)[0] for x, y in zip(a, b)]
+    assert reads.alignment_scores(a, b).tolist() == reads.alignment_scores(a, b, cells=60).tolist() == want
+    assert reads.alignment_scores([], []).tolist() == []
+
+
+def test_all_successive_sequences_are_scored(spark, tmp_path):
+    parts = [(k, f"part {k}") for k in (*range(195, 206), 5000, 5001, 5003)] + [(5004, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    seq = {r["p_partkey"]: r["seq"] for r in signals.sequences(spark, tmp_path).collect()}
+    want = {k: None if None in (seq[k], seq[k + 1]) else reads.global_alignment(seq[k], seq[k + 1])[0] for k in seq if k + 1 in seq}
+    assert {r["p_partkey"]: r["score"] for r in signals.sequence_distances(spark, tmp_path).collect()} == want
+    assert len(want) == 12 and want[5003] is None and want[5000] is not None
+
+
 def test_dense_payload():
     p = encode.dense_payload(np.array([1.0, 2.5]))
     assert p["dtype"] == "float16" and encode.decode_dense(p).tolist() == [1, 2.5] and (p["min_value"], p["max_value"]) == (1, 2.5)

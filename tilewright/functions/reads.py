@@ -200,11 +200,47 @@ def aligned_substitutions(ref: str, query: str) -> list[dict]:
     return out
 
 
+def alignment_scores(a: list[str], b: list[str], match: float = 1, mismatch: float = -4, gap_open: float = -6, gap_extend: float = -1, cells: int = 1_000_000) -> np.ndarray:
+    """The scores of ``global_alignment`` of many pairs, whose tables are filled side by side, a row at a time; ``cells`` bounds a row of them."""
+    out = np.zeros(len(a))
+    order = sorted(range(len(a)), key=lambda i: (len(b[i]), len(a[i])))
+    while order:
+        take = max(1, cells // (len(b[order[-1]]) + 1))
+        part, order = order[-take:], order[:-take]
+        x, y = (_padded([t[i] for i in part]) for t in (a, b))
+        n, m = (np.array([len(t[i]) for i in part]) for t in (a, b))
+        none, at, step = -np.inf, np.arange(len(part)), gap_extend * np.arange(len(y) + 1)[:, None]
+        both, down = (np.full((len(y) + 1, len(part)), none) for _ in range(2))
+        both[0] = 0
+        for i in range(len(x) + 1):
+            if i:
+                best = np.maximum(np.maximum(both, down), right)
+                down = np.maximum(np.maximum(both, right) + gap_open, down + gap_extend)
+                both = np.full_like(best, none)
+                both[1:] = best[:-1] + np.where(x[i - 1] == y, match, mismatch)
+            right = np.full_like(both, none)
+            right[1:] = (np.maximum.accumulate(np.maximum(both, down)[:-1] - step[:-1], axis=0) + step[:-1]) + gap_open
+            done = at[n == i]
+            out[np.array(part)[done]] = np.maximum(np.maximum(both, down), right)[m[done], done]
+    return out
+
+
+def _padded(texts: list[str]) -> np.ndarray:
+    """Code points, a column a text."""
+    codes = np.zeros((max(map(len, texts)), len(texts)), np.uint32)
+    for k, t in enumerate(texts):
+        codes[: len(t), k] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes
+
+
 @F.pandas_udf(T.DoubleType())
 def alignment_score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Global alignment score of two sequences; null if one is null."""
     for a, b in parts:
-        yield pd.Series([None if x is None or y is None else global_alignment(x, y)[0] for x, y in zip(a, b)], dtype="float64")
+        known = (a.notna() & b.notna()).to_numpy()
+        out = np.full(len(a), None, object)
+        out[known] = alignment_scores(a[known].tolist(), b[known].tolist())
+        yield pd.Series(out)
 
 
 def cluster_order(distances: np.ndarray) -> list[int]:

@@ -390,7 +390,7 @@ def sequence_slice(spark, d):
 @query()
 def sequence_distances(spark, d):
     """Alignment scores of the sequences of successive parts."""
-    s = sequences(spark, d).where("p_partkey < 200")
+    s = sequences(spark, d)
     other = s.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("seq").alias("next"))
     return s.join(other, "p_partkey").select("p_partkey", reads.alignment_score("seq", "next").alias("score"))
 
