@@ -475,7 +475,7 @@ def hibed(spark, d):
 FROM (SELECT *, unnest(range(zoomLevel + 1)) AS k FROM placed WHERE zoomLevel IS NOT NULL AND zoomLevel <= 8)""")
 def ancestor_tiles(spark, d):
     """A record's tile at its zoom and all tiles above it."""
-    p = placed(spark, d).where("zoomLevel <= 8").withColumn("k", F.explode(F.sequence(F.lit(0), "zoomLevel")))
+    p = placed(spark, d).where("zoomLevel >= 0").withColumn("k", F.explode(F.sequence(F.lit(0), "zoomLevel")))
     x = F.floor(F.col("x_start") / F.pow(F.lit(2), 33 - F.col("zoomLevel") + F.col("k")))
     return p.select("id", (F.col("zoomLevel") - F.col("k")).alias("z"), x.alias("x"))
 
