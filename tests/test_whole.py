@@ -1,8 +1,12 @@
 """Queries over the rows that they once left out."""
 
+import math
+
+import pytest
+
 from tests.conftest import SMALL
 from tests.oracle import rows_of
-from tilewright.plans import genome
+from tilewright.plans import genome, signals
 
 
 def test_ancestor_tiles_of_all_zooms(spark, con, tmp_path):
@@ -20,3 +24,19 @@ def test_ancestor_tiles_of_all_zooms(spark, con, tmp_path):
     rows = df.collect()
     assert rows_of(df.columns, [r for r in rows if r["id"] in shallow]) == rows_of(rel.columns, rel.fetchall())
     assert len(rows) == con.sql("SELECT sum(zoomLevel + 1) FROM intervals WHERE fromX IS NOT NULL AND toX IS NOT NULL").fetchall()[0][0]
+
+
+def test_exp2_of_all_values(spark, con, tmp_path):
+    given = ["1.5", "NA", "40", "1e3", "2000", "-2000", "39.9", "readable?"]
+    lines = [(i, f"c1 {i} {i + 1} {v}") for i, v in enumerate(given)]
+    spark.createDataFrame(lines, "line_id long, raw_line string").write.parquet(f"{tmp_path}/dm3_values.parquet")
+    got = {r["start"]: r["value"] for r in signals.exp2_transform(spark, str(tmp_path)).collect()}
+    assert got[1] is None and sorted(got) == [0, 1, 2, 3, 4, 5, 6]
+    want = [2**1.5, None, 2.0**40, 2.0**1000, math.inf, 0.0, 2**39.9]
+    assert [got[i] for i in range(7) if i != 1] == pytest.approx([w for w in want if w is not None], rel=1e-12, abs=1e-6)
+
+    # the SQL's part of the rows is as the SQL says, and there is a row for every readable line
+    df, rel = signals.exp2_transform(spark, SMALL), con.sql(signals.SQL["exp2_transform"])
+    rows = df.collect()
+    assert rows_of(df.columns, [r for r in rows if r["value"] is not None and r["value"] < 2.0**40]) == rows_of(rel.columns, rel.fetchall())
+    assert len(rows) == signals.values(spark, SMALL).count() > rel.count("*").fetchall()[0][0]

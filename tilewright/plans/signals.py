@@ -87,7 +87,8 @@ def bedgraph_pyramid(spark, d):
 
 @query(f"""WITH {_SIGNAL} SELECT chrom, lo AS "start", hi AS "end", round(power(2, value), 6) AS value FROM sig WHERE value < 40""")
 def exp2_transform(spark, d):
-    return values(spark, d).where("value < 40").withColumn("value", F.round(F.pow(F.lit(2.0), F.col("value")), 6))
+    """All values; ``NA`` stays null, and what is beyond the largest double is infinity."""
+    return values(spark, d).withColumn("value", F.round(F.pow(F.lit(2.0), F.col("value")), 6))
 
 
 @query(f"""WITH {_SIGNAL} SELECT chrom, b AS lo, lo AS hi FROM (
