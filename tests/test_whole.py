@@ -40,3 +40,21 @@ def test_exp2_of_all_values(spark, con, tmp_path):
     rows = df.collect()
     assert rows_of(df.columns, [r for r in rows if r["value"] is not None and r["value"] < 2.0**40]) == rows_of(rel.columns, rel.fetchall())
     assert len(rows) == signals.values(spark, SMALL).count() > rel.count("*").fetchall()[0][0]
+
+
+def test_default_vectors_of_all_lines(spark, con, tmp_path):
+    given = ["1.5", "-1.2e-3", "NA", "0.5d", "0.5f", "0x1p3", "x", "", None, "+.5E+2\r", "1,234.5", "inf", "na"]
+    lines = [(k, v, "2e1\r") for k, v in enumerate(given)]
+    spark.createDataFrame(lines, "row_id long, copynumber string, segmented string").write.parquet(f"{tmp_path}/cnvs_hw.parquet")
+    got = {(r["row_id"], r["i"]): r["v"] for r in signals.default_vectors(spark, str(tmp_path)).collect()}
+    want = {0: 1.5, 1: -0.0012, 9: 50.0, 11: math.inf}
+    assert len(got) == 3 * len(given) and all(got[k, 1] == 20 and math.isnan(got[k, 2]) for k in range(len(given)))
+    assert all(got[k, 0] == want[k] if k in want else math.isnan(got[k, 0]) for k in range(len(given)))
+
+    # the SQL's part of the rows is as the SQL says; all rows are as it says without its filter
+    df, rel = signals.default_vectors(spark, SMALL), con.sql(signals.SQL["default_vectors"])
+    part, rows = rel.fetchall(), df.collect()
+    ids = {r[0] for r in part}
+    assert rows_of(df.columns, [r for r in rows if r["row_id"] in ids]) == rows_of(rel.columns, part)
+    every = con.sql(signals.SQL["default_vectors"].split(" WHERE ")[0] + ")")
+    assert rows_of(df.columns, rows) == rows_of(every.columns, every.fetchall()) and len(rows) > len(part)

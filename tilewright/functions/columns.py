@@ -111,10 +111,12 @@ def joined_or_dot(values: Column, separator: str) -> Column:
 
 
 def default_vector(fields: Column, width: int) -> Column:
-    """Value fields as doubles: ``NA`` and what is missing are NaN."""
+    """Value fields as doubles: ``NA``, what is missing and what cannot be read are NaN; Java's suffixes and hexadecimal numbers cannot."""
     nan = F.lit(float("nan"))
+    java = lambda f: f.rlike(r"[0-9.][dDfF]\s*\z|[xX]")
     return F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.when(F.get(fields, i) != "NA", F.get(fields, i).try_cast("double")), nan)
+        F.sequence(F.lit(0), F.lit(width - 1)),
+        lambda i: F.coalesce(F.when((F.get(fields, i) != "NA") & ~java(F.get(fields, i)), F.get(fields, i).try_cast("double")), nan),
     )
 
 

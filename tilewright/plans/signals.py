@@ -424,11 +424,9 @@ def states_one_hot(spark, d):
 @query(r"""SELECT row_id, CAST(i AS INTEGER) AS i, coalesce(CASE WHEN x <> 'NA' THEN try_cast(x AS DOUBLE) END, 'NaN'::DOUBLE) AS v FROM (
   SELECT row_id, i, CASE i WHEN 0 THEN copynumber WHEN 1 THEN trim(segmented, chr(13)) END AS x FROM cnvs_hw, range(3) r(i) WHERE regexp_full_match(coalesce(copynumber, 'NA'), 'NA|[-+]?[0-9.]+') AND regexp_full_match(coalesce(trim(segmented, chr(13)), 'NA'), 'NA|[-+]?[0-9.]+'))""")
 def default_vectors(spark, d):
-    """Value fields of a line, ``NA`` and missing ones as NaN."""
-    seg = F.btrim("segmented", F.lit("\r"))
-    plain = lambda c: F.coalesce(c, F.lit("NA")).rlike(r"\A(NA|[-+]?[0-9.]+)\z")
-    c = table(spark, d, "cnvs_hw").where(plain(F.col("copynumber")) & plain(seg))
-    return c.select("row_id", F.posexplode(C.default_vector(F.array("copynumber", seg), 3)).alias("i", "v"))
+    """Value fields of every line; ``NA``, missing and unreadable ones as NaN."""
+    c = table(spark, d, "cnvs_hw")
+    return c.select("row_id", F.posexplode(C.default_vector(F.array("copynumber", F.btrim("segmented", F.lit("\r"))), 3)).alias("i", "v"))
 
 
 @query(f"""WITH p AS (SELECT o_orderkey, {_LNG} AS x, {_LAT} AS y, 1 + o_orderkey % 5 AS w, 1 + o_orderkey % 3 AS h FROM orders)
