@@ -160,3 +160,16 @@ def test_scan_limit(spark, put):
     with pytest.raises(TileTooLarge):
         AnnotationTileset.from_bed(spark, bed, SIZES, TilePolicy(max_scan_bytes=10)).tiles(["u.0.0"])
     assert AnnotationTileset.from_bed(spark, bed, SIZES).tiles(["u.0.0"])[0][1]
+
+
+def test_too_many_contigs_are_refused(spark, put, monkeypatch):
+    fai = put("a.fai", "c1\t10\t4\t60\t61\nc2\t20\t30\t60\t61\nc3\t5\t90\t60\t61\n")
+    vcf = put("a.vcf", "".join(f"##contig=<ID=c{k},length={k}>\n" for k in (3, 1, 2)))
+    gff = put("a.gff", "".join(f"c{k}\ts\tregion\t1\t{k}0\t.\t+\t.\tID=r{k}\n" for k in (3, 1, 2)))
+    ways = [lambda: text.read_fai(spark, fai), lambda: text.vcf_chromsizes(spark, vcf), lambda: text.gff_chromsizes(text.read_gff(spark, gff))]
+    monkeypatch.setattr(text, "MOST", 3)
+    assert [w().names for w in ways] == [("c1", "c2", "c3"), ("c3", "c1", "c2"), ("c1", "c2", "c3")]
+    monkeypatch.setattr(text, "MOST", 2)
+    for w in ways:
+        with pytest.raises(ValueError, match="more than 2 contigs"):
+            w()

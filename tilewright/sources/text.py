@@ -13,6 +13,17 @@ from tilewright.functions import reads
 from tilewright.functions.columns import default_vector, strand, variant_end
 from tilewright.model.coords import Chromsizes, natural_key
 
+#: contigs that a driver takes
+MOST = 1_000_000
+
+
+def _contigs(df: DataFrame) -> list:
+    """The rows of a contig list, which are refused if there are more than ``MOST``."""
+    rows = df.limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} contigs")
+    return rows
+
 
 def lines(spark: SparkSession, path: str | list[str], comments: tuple[str, ...] = ("#", "track", "browser")) -> DataFrame:
     """Text lines without carriage returns, blank lines and lines that begin like a comment."""
@@ -73,7 +84,7 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
 
 def gff_chromsizes(features: DataFrame) -> Chromsizes:
     """Contigs from ``region`` features, which only GFF3 files have."""
-    found = {r["chrom"]: r["end"] for r in features.where("type = 'region'").groupBy("chrom").agg(F.max("end").alias("end")).limit(1_000_000).collect()}
+    found = {r["chrom"]: r["end"] for r in _contigs(features.where("type = 'region'").groupBy("chrom").agg(F.max("end").alias("end")))}
     if not found:
         raise ValueError("there are no region features")
     return Chromsizes(sorted(found.items(), key=lambda p: natural_key(p[0])))
@@ -96,7 +107,7 @@ def vcf_chromsizes(spark: SparkSession, path: str) -> Chromsizes:
     head = spark.read.text(path).where(F.col("value").startswith("##contig=")).select(
         F.regexp_extract("value", r"ID=([^,>]+)", 1).alias("n"), F.regexp_extract("value", r"length=([0-9]+)", 1).alias("l"), F.monotonically_increasing_id().alias("o")
     )
-    return Chromsizes((r["n"], r["l"]) for r in head.where("l <> ''").orderBy("o").limit(1_000_000).collect())
+    return Chromsizes((r["n"], r["l"]) for r in _contigs(head.where("l <> ''").orderBy("o")))
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -141,7 +152,7 @@ def read_slices(chunks: DataFrame, wanted: DataFrame, chunk: int = 1 << 16) -> D
 
 def read_fai(spark: SparkSession, path: str) -> Chromsizes:
     """Contigs of a FASTA index, in the file's order."""
-    rows = spark.read.csv(path, sep="\t", schema="chrom string, len long, at long, width int, bytes int").orderBy("at").limit(1_000_000).collect()
+    rows = _contigs(spark.read.csv(path, sep="\t", schema="chrom string, len long, at long, width int, bytes int").orderBy("at"))
     return Chromsizes((r["chrom"], r["len"]) for r in rows)
 
 
