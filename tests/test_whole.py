@@ -58,3 +58,11 @@ def test_default_vectors_of_all_lines(spark, con, tmp_path):
     assert rows_of(df.columns, [r for r in rows if r["row_id"] in ids]) == rows_of(rel.columns, part)
     every = con.sql(signals.SQL["default_vectors"].split(" WHERE ")[0] + ")")
     assert rows_of(df.columns, rows) == rows_of(every.columns, every.fetchall()) and len(rows) > len(part)
+
+
+def test_spine_reaches_the_last_bin(spark, tmp_path):
+    lines = [(0, "c1 500 1500 2"), (1, "c1 300000 301000 1"), (2, "c1 301000 302001 NA"), (3, "c2 199000 200000 3"), (4, "c3 199999 200001 4")]
+    spark.createDataFrame(lines, "line_id long, raw_line string").write.parquet(f"{tmp_path}/dm3_values.parquet")
+    got = {(r["chrom"], r["bin"]): r["sum"] for r in signals.signal_on_spine(spark, str(tmp_path)).collect()}
+    filled = {("c1", 0): 1000, ("c1", 1): 1000, ("c1", 300): 1000, ("c2", 199): 3000, ("c3", 199): 4, ("c3", 200): 4}
+    assert got == {(c, b): filled.get((c, b), 0) for c, n in (("c1", 303), ("c2", 200), ("c3", 201)) for b in range(n)}

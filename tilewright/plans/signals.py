@@ -101,9 +101,10 @@ def signal_gaps(spark, d):
 LEFT JOIN (SELECT chrom, bin, sum(value * (least(hi, (bin + 1) * 1000) - greatest(lo, bin * 1000))) AS s FROM (
   SELECT *, unnest(range(lo // 1000, (hi - 1) // 1000 + 1)) AS bin FROM sig WHERE value IS NOT NULL) GROUP BY chrom, bin) v USING (chrom, bin)""")
 def signal_on_spine(spark, d):
-    """The first 200 bins of every contig, holes filled with 0."""
+    """The bins of every contig up to its last one, the first 200 at least, holes filled with 0."""
     v = values(spark, d)
-    spine = v.select("chrom").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(199).cast("bigint"))))
+    last = v.groupBy("chrom").agg(F.greatest(F.floor((F.max("end") - 1) / 1000), F.lit(199)).cast("bigint").alias("last"))
+    spine = last.select("chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("bin"))
     stats = signal.bin_stats(v, ["chrom"], "start", "end", "value", 1000).select("chrom", "bin", F.round("sum", 4).alias("sum"))
     return signal.with_spine(stats, ["chrom"], spine, {"sum": 0.0})
 
