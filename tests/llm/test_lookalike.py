@@ -47,3 +47,14 @@ def test_pairs_against_brute_force(spark):
     assert alike_pairs(df.where("false")).collect() == []
     forms = {r["doc_id"]: r["form"] for r in with_forms(df).collect()}
     assert forms[5] is None and forms[4] == "" and forms[10] == "fi"
+
+
+def test_form_with_many_spellings(spark):
+    """One form holds nearly all texts, so its key is spread."""
+    from itertools import product
+
+    texts = ["".join(p) for p in product("aа", "eе", "oо", "pр", "cс")]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(100, "other")], "doc_id long, text string")
+    got = sorted(map(tuple, alike_pairs(df, salts=4).collect()))
+    assert got == [(i, j) for i in range(32) for j in range(i + 1, 32)]
+    assert {(r["class_id"], r["texts"]) for r in alike_classes_of(df).collect()} == {(0, 32), (100, 1)}

@@ -8,6 +8,7 @@ every adjacent pair of it is stable, and only words with an unstable pair have t
 from __future__ import annotations
 
 import heapq
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -168,6 +169,17 @@ class Bpe:
         return [np.concatenate([known[w] for w in words]) if words else none for words in split]
 
 
+_OF_WORKER: dict[str, Bpe] = {}
+
+
+def _of_worker(digest: str, shared) -> Bpe:
+    """The encoder of this Python worker, which is kept from task to task with the words it has learnt."""
+    if digest not in _OF_WORKER:
+        _OF_WORKER.clear()
+        _OF_WORKER[digest] = Bpe(shared.value)
+    return _OF_WORKER[digest]
+
+
 def encode_documents(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", batch_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, ids array<int>): each text by the vocabulary file at path ``vocabulary``, without special tokens.
 
@@ -181,10 +193,10 @@ def encode_documents(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", tex
     if len(file) > 32_000_000:
         raise ValueError("the vocabulary file is larger than 32 MB")
     shared = df.sparkSession.sparkContext.broadcast(file)
-    kind = dict(df.dtypes)[doc_id]
+    kind, digest = dict(df.dtypes)[doc_id], hashlib.sha256(file).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(shared.value)
+        bpe = _of_worker(digest, shared)
         for batch in batches:
             ids, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
             while at < len(texts):

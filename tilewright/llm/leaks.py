@@ -1,44 +1,92 @@
 """Evaluation items inside corpus documents: rare n-gram seeds, then local alignment.
 
-1. Documents are read once. Their words (in the consistent, lower-case form) are coded by the items' vocabulary, and
+1. Documents are read once. Their words (in the consistent form, without regard to case) are coded by the items' vocabulary, and
    documents that hold any word n-gram of any item are kept with the places of these n-grams.
 2. The corpus frequency of each item n-gram is counted from those places. Every window of an item that could leak
    (``min_words`` successive words) takes its rarest n-gram as its seed; a copy of a window holds the window's seed.
 3. Seeds join documents to items. Each pair is aligned by Smith-Waterman on words over the region around its seeds, which
    gives the score of edited copies and, from the same table, the longest run of successive equal words.
 
-The rarest n-gram of a window is often one that an edit broke, so seeds find whole windows, not edited copies. These are
-found by a count instead (``alignments``): an alignment near a full match must keep a number of the item's word pairs.
+The rarest n-gram of a window is often one that an edit broke, so these seeds find whole windows, not edited copies. For
+edited copies (``alignments``) the seeds are the shortest n-grams, all pairs of successive words of an item: a passage that
+is nearly a full match must keep a number of them close together, so none is lost.
+
+Items are held by every task, so they are worked off in blocks of bounded size; any number of items is taken.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tilewright.llm.lookalike import Rewriter, representatives
 from tilewright.runtime import Cut
 
 WORD = regex.compile(r"[\p{L}\p{Nd}]+")
+GREEK = regex.compile(r"\p{Greek}")
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
+@cache
+def latin_form():
+    """The rewriting to the consistent form with Latin letters as representatives, made once a process."""
+    return Rewriter(representatives()).form
+
+
+@cache
+def small_letters() -> dict[int, str]:
+    """Small letters whose capital is written as another letter in the form, and the small letter of that one.
+
+    The form makes a Latin B of a Cyrillic or Greek one, but their small letters look like no Latin letter, so that without this
+    a word would not equal itself in capitals. A small letter that looks like another one itself is left alone.
+    """
+    written = representatives()
+    out = {"\u03c2": "\u03c3"}
+    for capital, best in written.items():
+        small = capital.lower()
+        shown = written.get(small, small)
+        if len(capital) == len(best) == len(small) == 1 and small != capital and not shown.isascii() and best.lower() != shown:
+            out[shown] = best.lower()
+    return {ord(a): out.get(b, b) for a, b in out.items()}
+
+
+@lru_cache(200_000)
+def uncased(word: str) -> str:
+    """A word of the form without regard to case. A small nu has the form of a v and its capital that of an N, so in words with
+    other Greek letters a v stands for nu."""
+    word = word.lower()
+    if "v" in word and GREEK.search(word):
+        word = word.replace("v", "n")
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", word).translate(small_letters()))
+
+
 def words(form: str) -> list[str]:
-    return WORD.findall(form.lower())
+    """The words of a text in its form. An accent that no letter is composed with ends a word, which is looked for in the small
+    letters again, as a capital may have been composed with it."""
+    if form.isascii():
+        return WORD.findall(form.lower())
+    return [x for w in WORD.findall(form) for x in ((w.lower(),) if w.isascii() else WORD.findall(uncased(w)))]
+
+
+def words_of(text: str) -> list[str]:
+    return words(latin_form()(text))
 
 
 @dataclass
 class Items:
-    """The evaluation items, coded; their number must be bounded (``max_items``), as they are broadcast."""
+    """The evaluation items of a block, coded; their number is bounded, as they are broadcast."""
 
-    ids: list[int]
+    ids: list
     coded: list[np.ndarray]
     vocabulary: dict[str, int]
     size: int
@@ -48,13 +96,9 @@ class Items:
     places: list[list[tuple[int, int]]] = field(default_factory=list)
 
     @classmethod
-    def load(cls, df: DataFrame, item_id: str, text: str, size: int, max_items: int) -> Items:
-        rows = df.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), F.col(text).alias("t")).limit(max_items + 1).collect()
-        if len(rows) > max_items:
-            raise ValueError(f"more than {max_items} items: raise max_items or check the items in blocks")
-        form = Rewriter(representatives()).form
-        rows.sort(key=lambda r: r["i"])
-        spelled = [words(form(r["t"] or "")) for r in rows]
+    def of(cls, rows: list, size: int) -> Items:
+        """From rows (i, t) of ids and texts."""
+        spelled = [words_of(r["t"] or "") for r in rows]
         vocabulary: dict[str, int] = {}
         coded = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws], np.int32) for ws in spelled]
         self = cls([r["i"] for r in rows], coded, vocabulary, size)
@@ -135,6 +179,36 @@ def regions(at: list[int], reach: int, n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, max_items: int, max_chars: int) -> Iterator[list]:
+    """The items (i, t) in blocks of at most ``max_items`` rows and ``max_chars`` characters (or one longer item).
+
+    Items are hashed into bins, whose sizes are counted first; a bin that is too large is hashed again into more of them. Null ids are
+    left out. A block is sorted, so its order does not depend on partitions.
+    """
+    rows = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), F.col(text).alias("t"))
+    weighed = rows.select("*", F.coalesce(F.length("t"), F.lit(0)).alias("_n"))
+    one = weighed.agg(F.count(F.lit(1)).alias("rows"), F.sum("_n").alias("chars")).first()
+    need = max(1, -(-one["rows"] // max_items), -(-(one["chars"] or 0) // max_chars))
+    whole = [(0, 1, F.lit(True))] if need == 1 else []
+    split = [(F.lit(True), 2 * need, 0)] if need > 1 else []
+    while split:
+        inside, n, seed = split.pop()
+        slot = F.pmod(F.xxhash64(F.lit(seed), F.col("i").cast("string"), "t"), F.lit(n))
+        sizes = weighed.where(inside).groupBy(slot.alias("b")).agg(F.count(F.lit(1)).alias("rows"), F.sum("_n").alias("chars"), F.count_distinct("i", "t").alias("kinds"))
+        for r in sizes.toLocalIterator():  # a row a bin
+            here = inside & (slot == r["b"])
+            if (r["rows"] <= max_items and r["chars"] <= max_chars) or r["kinds"] <= 1:
+                whole.append((seed, r["b"], here))
+            else:
+                split.append((here, 2 * max(-(-r["rows"] // max_items), -(-r["chars"] // max_chars)), seed + 1))
+    for *_, here in whole:
+        yield sorted(rows.where(here).collect(), key=lambda r: (str(r["i"]), r["t"] or ""))
+
+
+def _pairs(ids: list, items: list, numbers: list[list], id_type: pa.DataType, item_type: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(items, item_type), *(pa.array(c, pa.int32()) for c in numbers)], names=["doc_id", "item_id", *names])
+
+
 def leaks(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -144,6 +218,7 @@ def leaks(
     min_words: int = 12,
     gram: int = 5,
     max_items: int = 20_000,
+    max_chars: int = 32_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, score, similarity, run, item_words) of every document and item that share a seed.
 
@@ -151,23 +226,28 @@ def leaks(
     non-words between; a leak in the strict sense has ``run >= min(min_words, item_words)``, and none of these is lost.
     ``score`` is the best local alignment (match 2, mismatch and gap -1), ``similarity`` its share of a full match.
     Words are the longest runs of letters and digits, without regard to case, in the consistent form of look-alike
-    texts. Null and empty texts and items without a word leak nothing; null ids are left out; items that repeat a text are
-    reported each; repeated documents too. More than ``max_items`` items are refused (they are held by every
-    task), so check a larger set in blocks. An empty corpus or benchmark gives no rows.
+    texts. Null and empty texts and items without a word leak nothing; null ids are left out, ids may be of any type; items
+    that repeat a text are reported each; repeated documents too. Items are worked off in blocks of ``max_items`` rows and
+    ``max_chars`` characters, one pass over the documents each. An empty corpus or benchmark gives no rows.
     """
+    parts = [_leaks(documents, rows, benchmark.schema[item_id].dataType, doc_id, text, min_words, gram) for rows in item_blocks(benchmark, item_id, text, max_items, max_chars)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _leaks(documents: DataFrame, rows: list, item_type, doc_id: str, text: str, min_words: int, gram: int) -> DataFrame:
     spark = documents.sparkSession
-    items = Items.load(benchmark, item_id, text, gram, max_items)
+    items = Items.of(rows, gram)
     shared = spark.sparkContext.broadcast(items)
-    doc_kind, item_kind = dict(documents.dtypes)[doc_id], dict(benchmark.dtypes)[item_id]
+    doc_kind, item_kind, item_arrow = dict(documents.dtypes)[doc_id], item_type.simpleString(), to_arrow_type(item_type)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, form = shared.value, Rewriter(representatives()).form
+        items = shared.value
         for batch in batches:
             ids, coded, grams, at = [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if i is None or not t:
                     continue
-                c = items.code(words(form(t)))
+                c = items.code(words_of(t))
                 g, p = items.hits(c)
                 if g:
                     ids.append(i)
@@ -199,25 +279,22 @@ def leaks(
                     item = items.coded[k]
                     best = [align(doc[a:b], item) for a, b in regions(places, 2 * len(item), len(doc))]
                     out.append((i, items.ids[k], max(s for s, _ in best), max(r for _, r in best), len(item)))
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:])],
-                names=["doc_id", "item_id", "score", "run", "item_words"],
-            )
+            ids, found, *numbers = list(zip(*out)) or [()] * 5
+            yield _pairs(ids, found, numbers, batch.schema.field(0).type, item_arrow, ["score", "run", "item_words"])
 
-    pairs = held.mapInArrow(score, f"doc_id {doc_kind}, item_id bigint, score int, run int, item_words int")
-    return pairs.select(
-        "doc_id", F.col("item_id").cast(item_kind).alias("item_id"), "score", (F.col("score") / (MATCH * F.col("item_words"))).alias("similarity"), "run", "item_words"
-    )
+    pairs = held.mapInArrow(score, f"doc_id {doc_kind}, item_id {item_kind}, score int, run int, item_words int")
+    return pairs.select("doc_id", "item_id", "score", (F.col("score") / (MATCH * F.col("item_words"))).alias("similarity"), "run", "item_words")
 
 
 @dataclass
 class Pairs:
     """The pairs of successive words of the items (of items of one word, that word), as sorted keys with their items.
 
-    An alignment of ``a`` equal words and ``e`` mismatches and gaps has the score 2a - e, with a <= m, the item's words.
-    If the score is ``least`` or more, then e <= 2a - least. The equal words stand in e + 1 runs at most, so a - e - 1 >=
-    least - m - 1 pairs of successive item words stand in the document, on a + e <= 3m - least of its words.
+    A passage is a stretch of ``l`` successive item words, ``low <= l < 2 * low`` (``low``: ``min_words`` or the whole item, if
+    it is shorter). If a longer one is aligned with a share of a full match, so is one of its halves. An alignment of ``a``
+    equal words and ``e`` mismatches and gaps has the score 2a - e, with a <= l. If the score is s >= share * 2l, then
+    e <= 2l - s. The equal words stand in e + 1 runs at most, so a - e - 1 >= s - l - 1 pairs of successive item words stand in
+    the document, on a + e <= 3l - s of its words. Both bounds are taken at their loosest.
     """
 
     keys: np.ndarray
@@ -225,14 +302,14 @@ class Pairs:
     bounds: np.ndarray
     items: np.ndarray
     own: list[np.ndarray]
-    least: np.ndarray
+    low: np.ndarray
     need: np.ndarray
     span: np.ndarray
     base: int
     single: bool
 
     @classmethod
-    def of(cls, items: Items, share: float) -> Pairs:
+    def of(cls, items: Items, share: float, min_words: int) -> Pairs:
         if not 0.75 < share <= 1:
             raise ValueError("below a share of 0.75 an alignment need not keep a pair of words")
         base = len(items.vocabulary) + 1
@@ -242,12 +319,12 @@ class Pairs:
         pair = np.concatenate([np.zeros(0, np.int64), *own])
         item = np.repeat(np.arange(len(own)), [len(o) for o in own])
         size = np.array([len(c) for c in items.coded], np.int64)
-        least = np.floor(MATCH * share * size).astype(np.int64) - 1
-        while (low := (size > 0) & (least / np.maximum(MATCH * size, 1) < share)).any():
-            least[low] += 1
+        low = np.minimum(size, min_words)
+        high = np.maximum(low, np.minimum(size, 2 * low - 1))
         bounds = np.searchsorted(np.sort(pair), np.arange(len(keys) + 1))
-        need, span = np.maximum(1, least - size - 1), np.maximum(1, 3 * size - least)
-        return cls(keys, bounds, item[np.argsort(pair, kind="stable")], own, least, need, span, base, bool((size == 1).any()))
+        need = np.maximum(1, least_score(low, share) - low - 1)
+        span = np.maximum(1, np.array([max((3 * n - int(least_score(n, share)) for n in range(a, b + 1)), default=1) for a, b in zip(low.tolist(), high.tolist())], np.int64))
+        return cls(keys, bounds, item[np.argsort(pair, kind="stable")], own, low, need, span, base, bool((size == 1).any()))
 
     def held(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a document, sorted, and their places."""
@@ -265,8 +342,8 @@ class Pairs:
         order = np.argsort(g, kind="stable")
         return g[order], at[order]
 
-    def candidates(self, doc: np.ndarray) -> Iterator[int]:
-        """Every item that a document may hold with the score ``least`` or more."""
+    def candidates(self, doc: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Every item of which a document may hold a passage, with the stretches of the document where it may stand."""
         g, at = self.held(doc)
         if not len(g):
             return
@@ -278,9 +355,43 @@ class Pairs:
         for k in np.flatnonzero(total >= self.need).tolist():
             lo, hi = np.searchsorted(g, self.own[k]), np.searchsorted(g, self.own[k], "right")
             places = np.sort(np.concatenate([at[a:b] for a, b in zip(lo.tolist(), hi.tolist())]))
-            n = int(self.need[k]) - 1
-            if (places[n:] - places[: len(places) - n] < self.span[k]).any():
-                yield k
+            n, span = int(self.need[k]) - 1, int(self.span[k])
+            dense = np.flatnonzero(places[n:] - places[: len(places) - n] < span)
+            if len(dense):
+                yield k, regions(places[dense].tolist(), span, len(doc))
+
+
+def least_score(words: int | np.ndarray, share: float) -> np.ndarray:
+    """The lowest score that is ``share`` of a full match of so many words."""
+    return np.ceil(MATCH * share * np.asarray(words, np.int64) - 1e-9).astype(np.int64)
+
+
+def passages(doc: np.ndarray, item: np.ndarray, low: int) -> tuple[int, int]:
+    """(score, words) of the item's passage of ``low`` to ``2 * low - 1`` words with the best share of a full match, the longest of equals.
+
+    The alignments of the passages that begin at each item word are computed side by side, one item word of all of them a step.
+    """
+    m, most = len(item), min(len(item), 2 * low - 1)
+    starts = m - low + 1
+    slope = GAP * np.arange(len(doc))
+    score = np.zeros((starts, len(doc)), np.int64)
+    before = np.zeros_like(score)
+    seen = np.zeros(starts, np.int64)
+    best = (0, low)
+    padded = np.concatenate([item, np.full(most, -1, item.dtype)])
+    same = (padded[:, None] == doc[None, :]) & (padded[:, None] > 0)
+    for step in range(most):
+        before[:, 1:] = score[:, :-1]
+        up = np.maximum(np.where(same[step : step + starts], before + MATCH, before + MISMATCH), score + GAP)
+        np.maximum(up, 0, out=up)
+        score = np.maximum(np.maximum.accumulate(up - slope, axis=1) + slope, 0)
+        seen = np.maximum(seen, score.max(axis=1, initial=0))
+        n = step + 1
+        if n >= low:
+            top = int(seen[: m - n + 1].max())
+            if top * best[1] >= best[0] * n:
+                best = (top, n)
+    return best
 
 
 def alignments(
@@ -290,39 +401,44 @@ def alignments(
     doc_id: str = "doc_id",
     item_id: str = "item_id",
     text: str = "text",
+    min_words: int = 12,
     max_items: int = 20_000,
+    max_chars: int = 32_000_000,
 ) -> DataFrame:
-    """(doc_id, item_id, score, similarity, run, item_words) of every document and item whose best local alignment is
-    ``share`` of a full match or more, edited copies included; none is lost.
+    """(doc_id, item_id, score, similarity, passage_words, run, item_words) of every document with an edited or whole copy of a passage of an item.
 
-    Columns, words and the treatment of nulls and empty texts are those of ``leaks``; ``score`` and ``run`` are of the
-    whole document.
+    A passage is a stretch of at least ``min_words`` successive words of the item (of a shorter item, all of them). It stands in the
+    document if its best local alignment (match 2, mismatch and gap -1) is ``share`` of a full match or more; none is lost.
+    Passages of ``min_words`` to less than twice as many words decide, as one of them is in any longer one. Given are the score and
+    the words of the one with the best share, the longest of equals, and the longest run of equal words. Words, ids, blocks
+    of items and the treatment of nulls and empty texts are those of ``leaks``.
     """
-    spark = documents.sparkSession
-    items = Items.load(benchmark, item_id, text, 1, max_items)
-    shared = spark.sparkContext.broadcast((items, Pairs.of(items, share)))
-    doc_kind, item_kind = dict(documents.dtypes)[doc_id], dict(benchmark.dtypes)[item_id]
+    parts = [_alignments(documents, rows, benchmark.schema[item_id].dataType, share, doc_id, text, min_words) for rows in item_blocks(benchmark, item_id, text, max_items, max_chars)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _alignments(documents: DataFrame, rows: list, item_type, share: float, doc_id: str, text: str, min_words: int) -> DataFrame:
+    items = Items.of(rows, 1)
+    shared = documents.sparkSession.sparkContext.broadcast((items, Pairs.of(items, share, min_words)))
+    doc_kind, item_kind, item_arrow = dict(documents.dtypes)[doc_id], item_type.simpleString(), to_arrow_type(item_type)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (items, pairs), form = shared.value, Rewriter(representatives()).form
+        items, pairs = shared.value
         for batch in batches:
             out: list[tuple] = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if i is None or not t:
                     continue
-                doc = items.code(words(form(t)))
-                for k in pairs.candidates(doc):
-                    best, run = align(doc, items.coded[k])
-                    if best >= pairs.least[k]:
-                        out.append((i, items.ids[k], best, run, len(items.coded[k])))
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:])],
-                names=["doc_id", "item_id", "score", "run", "item_words"],
-            )
+                doc = items.code(words_of(t))
+                for k, places in pairs.candidates(doc):
+                    item, low = items.coded[k], int(pairs.low[k])
+                    found = [passages(doc[a:b], item, low) for a, b in places]
+                    best, n = max(found, key=lambda f: (f[0] / f[1], f[1]))
+                    if best >= least_score(n, share):
+                        out.append((i, items.ids[k], best, n, max(align(doc[a:b], item)[1] for a, b in places), len(item)))
+            ids, found, *numbers = list(zip(*out)) or [()] * 6
+            yield _pairs(ids, found, numbers, batch.schema.field(0).type, item_arrow, ["score", "passage_words", "run", "item_words"])
 
     texts = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = texts.mapInArrow(score, f"doc_id {doc_kind}, item_id bigint, score int, run int, item_words int")
-    return found.select(
-        "doc_id", F.col("item_id").cast(item_kind).alias("item_id"), "score", (F.col("score") / (MATCH * F.col("item_words"))).alias("similarity"), "run", "item_words"
-    )
+    found = texts.mapInArrow(score, f"doc_id {doc_kind}, item_id {item_kind}, score int, passage_words int, run int, item_words int")
+    return found.select("doc_id", "item_id", "score", (F.col("score") / (MATCH * F.col("passage_words"))).alias("similarity"), "passage_words", "run", "item_words")

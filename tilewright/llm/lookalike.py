@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.operators.skew import salted_join
 from tilewright.runtime import Cut
 
 # Letters of Latin, Greek and Cyrillic with the same shape, one class a word.
 SAME_SHAPE = """
-AАΑ BВΒ CСϹ EЕΕ FϜ HНΗ IІΙӀ JЈͿ KКΚ MМΜϺ NΝ OОΟ PРΡ QԚ SЅ TТΤ VѴ WԜ XХΧ YΥҮУ ZΖ
-aа cсϲ dԁ eе gɡ hһ iі jјϳ lӏ oоο pрρ qԛ sѕ vνѵ wԝ xх yу
-ГΓ ПΠ ФΦ кκ µμ ÆӔ æӕ ƏӘ əә ƟӨ ɵө ƷӠ ʒӡ ɛԑ
+AАΑ BВΒꞴ CСϹ EЕΕ FϜ GԌ HНΗ IІΙӀƖ JЈͿ KКΚ MМΜϺ NΝ OОΟ PРΡ QԚ SЅ TТΤ VѴ WԜ XХΧꞳ YΥҮУ ZΖ
+aа cсϲᴄ dԁ eе gɡ hһ iі jјϳ lӏ oоοᴏ pрρ qԛ sѕꜱ vνѵᴠ wԝᴡ xх yу zᴢ
+ГΓ ПΠ ФΦ кκᴋ µμ ÆӔ æӕ ƏӘ əәǝ ƟӨ ɵө ƷӠ ʒӡ ƐԐ ɛԑ ƆϽ ɔͻ ιɩ χꭓ βꞵ вʙ нʜ мᴍ тᴛ гᴦ пᴨ
 """
 
 # Code points without width (first and last of each range).
@@ -212,10 +213,11 @@ def alike_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", salts
     docs = Cut(_digests(df, doc_id, text), "forms").df
     variants = docs.groupBy("_form", "_text").agg(F.count(F.lit(1)).alias("_n"))
     several = variants.groupBy("_form").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("_form")
-    variants = variants.join(several, "_form")
+    # few texts have a look-alike, so what is left is written and its frequent forms, those of many spellings, are spread
+    variants = Cut(variants.join(several, "_form"), "variants").df
     other = variants.select("_form", F.col("_text").alias("_other"), F.col("_n").alias("_m"))
     # the text with more copies comes first: its documents are spread over the salts, those of the other go to each salt
-    pairs = variants.join(other, "_form").where("_n > _m or _n = _m and _text < _other").select("_text", "_other")
+    pairs = salted_join(variants, other, ["_form"], salts=salts).where("_n > _m or _n = _m and _text < _other").select("_text", "_other")
     each = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     members = docs.select("_text", F.col("doc_id").alias("_a"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("_salt"))
     left = members.join(pairs.withColumn("_salt", each), ["_text", "_salt"]).select("_other", "_salt", "_a")
@@ -230,4 +232,4 @@ def alike_classes_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     docs = Cut(_digests(df, doc_id, text), "forms").df
     texts = docs.groupBy("_form", "_text").agg(F.min("doc_id").alias("_least"))
     classes = texts.groupBy("_form").agg(F.min("_least").alias("class_id"), F.count(F.lit(1)).alias("texts"))
-    return docs.join(classes, "_form").select("doc_id", "class_id", "texts")
+    return salted_join(docs, classes, ["_form"]).select("doc_id", "class_id", "texts")

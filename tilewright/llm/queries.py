@@ -30,9 +30,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_alignments(spark: SparkSession, d: str) -> DataFrame:
-    """Documents and items with a local alignment of 0.8 of a full match, edited copies included."""
+    """Documents and items with a passage of which an alignment is 0.8 of a full match, edited and partial copies included."""
     found = leaks.alignments(table(spark, d, "documents"), table(spark, d, "benchmark"), 0.8)
-    return found.select("doc_id", "item_id", "score", F.round("similarity", 6).alias("similarity"), "run")
+    return found.select("doc_id", "item_id", "score", "passage_words", F.round("similarity", 6).alias("similarity"), "run")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,21 @@ def _consistent(text: str) -> str:
     return f"nfc_normalize({sql})"
 
 
-_WORDS = r"regexp_extract_all(lower(form), '[\p{L}\p{Nd}]+')"
+def _uncased() -> str:
+    """SQL for the words of a form without regard to case; letters with accents are mapped composed."""
+    small = {chr(a): b for a, b in leaks.small_letters().items()}
+    for c in range(0xC0, 0x2000):
+        parts = lookalike.apart(chr(c))
+        spelled = lookalike.unicodedata.normalize("NFC", "".join(small.get(p, p) for p in parts))
+        if len(parts) > 1 and len(spelled) == 1 and spelled != chr(c):
+            small[chr(c)] = spelled
+    a, b = "".join(small), "".join(small.values())
+    word = r"'[\p{L}\p{Nd}]+'"
+    nu = r"CASE WHEN regexp_matches(lower(w), '\p{Greek}') THEN replace(lower(w), 'v', 'n') ELSE lower(w) END"
+    return f"flatten(list_transform(regexp_extract_all(form, {word}), lambda w: regexp_extract_all(nfc_normalize(translate({nu}, '{a}', '{b}')), {word})))"
+
+
+_WORDS = _uncased()
 
 SQL = {
     "p1_found": """
