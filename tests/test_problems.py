@@ -53,11 +53,13 @@ def forests():
     yield star
 
 
-@pytest.mark.parametrize("parents", list(forests()), ids=range(7))
-def test_forest(spark, parents):
+@pytest.mark.parametrize("number", range(7))
+def test_forest(spark, number):
+    parents = list(forests())[number]
     data = [(n, p, 1) for n, p in parents.items()]
     data += data[: len(data) // 3] + [(None, "c1", 1)]
-    f = Forest(spark.createDataFrame(data, "id string, parent string, _code int"))
+    # keys are spread in some of the forests, whatever their size
+    f = Forest(spark.createDataFrame(data, "id string, parent string, _code int"), spread_from=1 if number in (3, 4, 6) else 1_000_000)
     got = {r["id"]: r for r in f.nodes().collect()}
     want = expected(parents)
     assert {n: (r["root_id"], r["depth"]) for n, r in got.items()} == want
@@ -68,10 +70,13 @@ def test_forest(spark, parents):
         r = got[n]
         inside = {m for m in trees if got[m]["root_id"] == r["root_id"] and r["first"] <= got[m]["first"] <= r["last"]}
         assert inside == {m for m in trees if n in walk(parents, m)[1]}
-    paths = {r["id"]: r["path"] for r in f.paths("|").collect()}
+    paths = {r["id"]: r["path"] for r in f.paths("|", block=7).collect()}
     assert paths == {n: "|".join(reversed(walk(parents, n)[1])) for n in trees}
     pieces = Counter(r["_code"] for r in f.segments().collect())
     assert not trees or max(pieces.values()) <= len(trees).bit_length()
+    if number in (2, 4, 5):
+        above = sorted((r["id"], r["depth"], r["ancestor"]) for r in f.ancestry().collect())
+        assert above == sorted((n, k, a) for n in trees for k, a in enumerate(reversed(walk(parents, n)[1])))
 
 
 def test_empty_forest(spark):

@@ -31,8 +31,14 @@ def nearest_first_bin(start: Column, end: Column, binsize: int) -> Column:
     return F.when((end > start) & (lo >= hi), hi - 1).otherwise(lo)
 
 
+def bit_length(n: Column) -> Column:
+    """Binary digits of a whole number, 0 for 0. Exact where a logarithm is not."""
+    return F.when(n == 0, 0).otherwise(F.length(F.bin(n)))
+
+
 def next_power_of_two(length: Column) -> Column:
-    return F.pow(F.lit(2), F.ceil(F.log2(length))).cast("bigint")
+    """The smallest power of two that is not below a positive whole number."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), bit_length(length.cast("bigint") - 1))
 
 
 def ucsc(name: Column, start: Column, end: Column) -> Column:
@@ -40,7 +46,8 @@ def ucsc(name: Column, start: Column, end: Column) -> Column:
 
 
 def quadtree_depth(total: Column, tile: Column) -> Column:
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.ceil(total / tile)))).cast("int")
+    """Zoom levels above the finest until one tile covers everything."""
+    return bit_length(F.greatest(F.ceil(total / tile), F.lit(1)) - 1).cast("int")
 
 
 # ------------------------------------------------------------------------------------------ Mercator
@@ -188,6 +195,7 @@ FILE_TYPES = {
 def index_bins(start: Column, end: Column) -> Column:
     """Numbers of all bins of the binning index (8 levels of 8, finest 16 kb) that [start, end) may lie in, 0 for the root."""
     last = end - 1
+    # Fixed values of the format: the first bin of each level and its size in bits.
     levels = [(1, 26), (9, 23), (73, 20), (585, 17), (4681, 14)]
     parts = [F.sequence(F.lit(first) + F.shiftright(start, s), F.lit(first) + F.shiftright(last, s)) for first, s in levels]
     return F.when(end > start, F.flatten(F.array(F.array(F.lit(0).cast("bigint")), *parts))).otherwise(F.array().cast("array<bigint>"))

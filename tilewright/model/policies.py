@@ -60,12 +60,12 @@ def drops(spans: list[int], bins: list[int], binsize: float, threshold: float =
     """Which intervals give up their last bin so that bins do not run ahead of the coordinates they stand for.
 
     With the excess E(i), the bins' width minus the spans' up to interval i, floor(E/binsize - threshold) + 1 bins are
-    too many so far; an interval at which this number grows drops one.
+    too many so far. An interval drops one bin if more are due than were dropped before it. An interval without bins has
+    none to drop.
     """
-    out, excess, before = [], 0.0, 0
+    out, excess, dropped = [], 0.0, 0
     for span, n in zip(spans, bins):
         excess += binsize * n - span
-        due = max(0, int((excess / binsize - threshold) // 1) + 1)
-        out.append(due > before)
-        before = max(before, due) if n else before
+        out.append(n > 0 and int((excess / binsize - threshold) // 1) + 1 > dropped)
+        dropped += out[-1]
     return out

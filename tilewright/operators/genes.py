@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 GENES = ("gene",)
 PSEUDOGENES = ("pseudogene",)
 TRANSCRIPTS = (
-    "mRNA", "transcript", "lnc_RNA", "primary_transcript", "antisense_RNA", "snoRNA", "snRNA", "tRNA", "rRNA", "SRP_RNA", "RNase_P_RNA", "RNase_MRP_RNA",
+    "mRNA", "transcript", "lnc_RNA", "ncRNA", "primary_transcript", "antisense_RNA", "snoRNA", "snRNA", "tRNA", "rRNA", "SRP_RNA", "RNase_P_RNA", "RNase_MRP_RNA",
 )
 BETWEEN = ("miRNA",)
 PARTS = ("exon", "CDS")
@@ -21,9 +21,9 @@ def features(df: DataFrame) -> DataFrame:
     """(type, id, parent, chrom, lo, hi, strand): 0-based half-open features with their first parent, one row per type, id and span."""
     from tilewright.operators.gff_parents import parent_of
 
-    parent = F.split_part(parent_of(F.col("attributes"), F.col("type")), F.lit(","), F.lit(1))
+    parent = parent_of(F.col("attributes"), F.col("type"), first=True)
     own = F.coalesce("id", F.concat_ws("_", "type", "start", "end"))
-    rows = df.select("type", own.alias("id"), F.nullif(parent, F.lit("")).alias("parent"), "chrom", (F.col("start") - 1).alias("lo"), F.col("end").alias("hi"), "strand")
+    rows = df.select("type", own.alias("id"), parent.alias("parent"), "chrom", (F.col("start") - 1).alias("lo"), F.col("end").alias("hi"), "strand")
     return rows.distinct()
 
 

@@ -20,22 +20,24 @@ def _quoted_value(attributes: Column, tag: str) -> Column:
     return F.btrim(F.replace(F.regexp_extract(attributes, pattern, 1), F.lit('"'), F.lit("")), F.lit(_BLANK))
 
 
-def _percent_decoded(c: Column) -> Column:
+def percent_decoded(c: Column) -> Column:
     """``%XX`` stands for its byte; ``+`` and a lone ``%`` stay as they are."""
     guarded = F.regexp_replace(F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
     return F.coalesce(F.try_url_decode(guarded), c)
 
 
-def parent_of(attributes: Column, kind: Column) -> Column:
+def parent_of(attributes: Column, kind: Column, first: bool = False) -> Column:
     """The parent's id, null where the feature names none.
 
     A text is in the ``tag=value`` dialect if its first pair has a ``=`` before any quote. There the parent is the value of
     ``Parent`` (the first one, if it is given twice). In the other dialect it is ``transcript_id`` for exon and CDS, nothing for
     gene and pseudogene and ``gene_id`` otherwise. Null or empty attributes and an empty value name no parent; a null type
-    counts as any other type.
+    counts as any other type. ``first``: of several parents, which the first dialect separates by commas, only the first one.
     """
     value = F.btrim(F.regexp_extract(attributes, _EQUALS_PARENT, 1), F.lit(_BLANK))
-    value = F.when(attributes.contains("%"), _percent_decoded(value)).otherwise(value)
+    if first:
+        value = F.split_part(value, F.lit(","), F.lit(1))
+    value = F.when(attributes.contains("%"), percent_decoded(value)).otherwise(value)
     other = (
         F.when(kind.isin(*TRANSCRIPT_PARTS), _quoted_value(attributes, "transcript_id"))
         .when(kind.isin(*PARENTLESS), F.lit(None).cast("string"))

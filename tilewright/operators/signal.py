@@ -153,10 +153,19 @@ def fill_gaps(df: DataFrame, group: list[str], start: str, end: str) -> DataFram
 def reconcile(df: DataFrame, tile: list[str], order: str, span: str, bins: str, binsize: str, threshold: float = 0.5) -> DataFrame:
     """Adds ``drop``: whether an interval gives up its last bin, so that a tile has as many bins as its width.
 
-    With the excess E of bin widths over spans so far, floor(E / binsize - threshold) + 1 bins are too many; an interval where
-    that number grows drops one. A tile's intervals are few, so the window is small.
+    With the excess E of bin widths over spans so far, floor(E / binsize - threshold) + 1 bins are too many; an interval
+    drops one if more are due than were dropped before it, and none if it has no bins. The intervals of a tile are few, so they are one list.
     """
     w = W.partitionBy(*tile).orderBy(order)
     excess = F.sum(F.col(binsize) * F.col(bins) - F.col(span)).over(w.rowsBetween(W.unboundedPreceding, 0))
-    due = df.withColumn("_due", F.greatest(F.lit(0), F.floor(excess / F.col(binsize) - threshold) + 1))
-    return due.withColumn("drop", F.col("_due") > F.coalesce(F.lag("_due").over(w), F.lit(0))).drop("_due")
+    due = df.withColumn("_due", F.when(F.col(bins) > 0, F.floor(excess / F.col(binsize) - threshold) + 1))
+    listed = due.groupBy(*tile).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_due").alias("d"), F.struct(*df.columns).alias("r")))).alias("_l"))
+    rows = F.transform("_l", lambda x: x["d"])
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<boolean>").alias("out"))
+
+    def step(acc, d):
+        drop = F.coalesce(d > acc["n"], F.lit(False))
+        return F.struct((acc["n"] + drop.cast("bigint")).alias("n"), F.concat(acc["out"], F.array(drop)).alias("out"))
+
+    both = F.arrays_zip(F.transform("_l", lambda x: x["r"]).alias("r"), F.aggregate(rows, start, step, lambda acc: acc["out"]).alias("drop"))
+    return listed.select(F.explode(both).alias("_b")).select("_b.r.*", "_b.drop")

@@ -348,17 +348,17 @@ def contig_sample(spark, d):
 
 _PARENTED = r"""
 feat AS (
-  SELECT DISTINCT type, coalesce(id, type || '_' || start || '_' || "end") AS id, nullif(split_part(nullif(CASE
+  SELECT DISTINCT type, coalesce(id, type || '_' || start || '_' || "end") AS id, nullif(CASE
     WHEN regexp_matches(attributes, '^[\s;]*[^;="]*=')
-      THEN url_decode(trim(regexp_extract(attributes, '(?:^|;)\s*Parent\s*=([^;]*)', 1), ' ' || chr(9) || chr(10) || chr(13)))
+      THEN url_decode(split_part(trim(regexp_extract(attributes, '(?:^|;)\s*Parent\s*=([^;]*)', 1), ' ' || chr(9) || chr(10) || chr(13)), ',', 1))
     WHEN type IN ('exon', 'CDS') THEN regexp_extract(attributes, '(?:^|;)\s*transcript_id\s+"([^"]*)"', 1)
     WHEN type IN ('gene', 'pseudogene') THEN NULL
-    ELSE regexp_extract(attributes, '(?:^|;)\s*gene_id\s+"([^"]*)"', 1) END, ''), ',', 1), '') AS parent,
+    ELSE regexp_extract(attributes, '(?:^|;)\s*gene_id\s+"([^"]*)"', 1) END, '') AS parent,
     chrom, start - 1 AS lo, "end" AS hi, strand FROM basegffentity),
 entity AS (
   SELECT *, row_number() OVER (PARTITION BY id, CASE WHEN type IN ('gene', 'pseudogene') THEN 0 WHEN type = 'miRNA' THEN 2 ELSE 1 END
     ORDER BY lo, hi, chrom NULLS FIRST, strand NULLS FIRST, type, parent NULLS FIRST) AS k FROM feat
-  WHERE type IN ('gene', 'pseudogene', 'miRNA', 'mRNA', 'transcript', 'lnc_RNA', 'primary_transcript', 'antisense_RNA', 'snoRNA', 'snRNA', 'tRNA', 'rRNA', 'SRP_RNA', 'RNase_P_RNA', 'RNase_MRP_RNA')
+  WHERE type IN ('gene', 'pseudogene', 'miRNA', 'mRNA', 'transcript', 'lnc_RNA', 'ncRNA', 'primary_transcript', 'antisense_RNA', 'snoRNA', 'snRNA', 'tRNA', 'rRNA', 'SRP_RNA', 'RNase_P_RNA', 'RNase_MRP_RNA')
     AND (type <> 'miRNA' OR parent IS NOT NULL)),
 gene AS (SELECT id AS gene_id, chrom, lo, hi, strand FROM entity WHERE k = 1 AND type IN ('gene', 'pseudogene')),
 tx AS (SELECT id AS transcript_id, parent, lo, hi FROM entity WHERE k = 1 AND type NOT IN ('gene', 'pseudogene', 'miRNA')),
@@ -472,7 +472,7 @@ def hibed(spark, d):
 
 
 @query(f"""WITH {_PLACED} SELECT id, CAST(zoomLevel - k AS INTEGER) AS z, x_start // CAST(power(2, 33 - zoomLevel + k) AS BIGINT) AS x
-FROM (SELECT *, unnest(range(zoomLevel + 1)) AS k FROM placed WHERE zoomLevel IS NOT NULL AND zoomLevel <= 8)""")
+FROM (SELECT *, unnest(range(zoomLevel + 1)) AS k FROM placed WHERE zoomLevel IS NOT NULL)""")
 def ancestor_tiles(spark, d):
     """A record's tile at its zoom and all tiles above it."""
     p = placed(spark, d).where("zoomLevel >= 0").withColumn("k", F.explode(F.sequence(F.lit(0), "zoomLevel")))

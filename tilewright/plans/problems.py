@@ -25,6 +25,11 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return forest(spark, d).nodes().where("depth >= 0").select("id", "descendants")
 
 
+def p2_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every node in a row a node: those of the same root whose ``first`` lies in (first, last]."""
+    return forest(spark, d).nodes().where("depth >= 0").select("id", "root_id", "first", "last")
+
+
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     return forest(spark, d).paths()
 
@@ -119,7 +124,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_descendants, p2_paths, p3_found, p3_chrom_stats, p3_offset_stats, p4_found, p4_loaded_cnvs, p4_loaded_values, p5_found, p5_report, p6_found)
+    for f in (p2_found, p2_descendants, p2_intervals, p2_paths, p3_found, p3_chrom_stats, p3_offset_stats, p4_found, p4_loaded_cnvs, p4_loaded_values, p5_found, p5_report, p6_found)
 }
 
 # ---------------------------------------------------------------------------------------------- SQL

@@ -85,7 +85,7 @@ def bedgraph_pyramid(spark, d):
     return out.withColumns({"total": near("total"), "mean": near("mean")}).select("chrom", "level", "bin", "total", "nan_bases", "bases", "mean")
 
 
-@query(f"""WITH {_SIGNAL} SELECT chrom, lo AS "start", hi AS "end", round(power(2, value), 6) AS value FROM sig WHERE value < 40""")
+@query(f"""WITH {_SIGNAL} SELECT chrom, lo AS "start", hi AS "end", round(CASE WHEN value > 1023.9999999 THEN 'Infinity'::DOUBLE ELSE power(2, value) END, 6) AS value FROM sig""")
 def exp2_transform(spark, d):
     """All values; ``NA`` stays null, and what is beyond the largest double is infinity."""
     return values(spark, d).withColumn("value", F.round(F.pow(F.lit(2.0), F.col("value")), 6))
@@ -97,7 +97,7 @@ def signal_gaps(spark, d):
     return signal.fill_gaps(values(spark, d), ["chrom"], "start", "end")
 
 
-@query(f"""WITH {_SIGNAL} SELECT chrom, CAST(bin AS BIGINT) AS bin, coalesce(round(s, 4), 0.0) AS sum FROM (SELECT DISTINCT chrom, bin FROM sig CROSS JOIN range(0, 200) r(bin)) c
+@query(f"""WITH {_SIGNAL} SELECT chrom, CAST(bin AS BIGINT) AS bin, coalesce(round(s, 4), 0.0) AS sum FROM (SELECT chrom, unnest(range(greatest((max(hi) - 1) // 1000, 199) + 1)) AS bin FROM sig GROUP BY chrom) c
 LEFT JOIN (SELECT chrom, bin, sum(value * (least(hi, (bin + 1) * 1000) - greatest(lo, bin * 1000))) AS s FROM (
   SELECT *, unnest(range(lo // 1000, (hi - 1) // 1000 + 1)) AS bin FROM sig WHERE value IS NOT NULL) GROUP BY chrom, bin) v USING (chrom, bin)""")
 def signal_on_spine(spark, d):
@@ -265,9 +265,14 @@ def nonempty_tiles(spark, d):
 
 
 _RECONCILED = """
-b AS (SELECT 0 AS tile, cid, len, CAST(ceil(len / 1000000.0) AS BIGINT) AS n, 1000000 AS size FROM chromsizes),
-e AS (SELECT *, greatest(0, CAST(floor(CAST(sum(size * n - len) OVER (PARTITION BY tile ORDER BY cid) AS DOUBLE) / size - 0.5) AS BIGINT) + 1) AS due FROM b),
-r AS (SELECT cid, n, due > coalesce(lag(due) OVER (PARTITION BY tile ORDER BY cid), 0) AS dropped FROM e)"""
+RECURSIVE b AS (SELECT row_number() OVER (ORDER BY cid) AS i, cid, len, CAST(ceil(len / 1000000.0) AS BIGINT) AS n FROM chromsizes),
+walk(i, cid, n, walked, claimed, dropped) AS (
+  SELECT CAST(0 AS BIGINT), CAST(-1 AS INTEGER), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false
+  UNION ALL
+  SELECT b.i, b.cid, b.n, walked + b.len, claimed + 1000000 * (b.n - CASE WHEN b.n > 0 AND claimed + 1000000 * b.n - walked - b.len >= 500000 THEN 1 ELSE 0 END),
+    b.n > 0 AND claimed + 1000000 * b.n - walked - b.len >= 500000
+  FROM walk JOIN b ON b.i = walk.i + 1),
+r AS (SELECT cid, n, dropped FROM walk WHERE i > 0)"""
 
 
 def _reconciled(spark, d) -> DataFrame:
@@ -423,7 +428,7 @@ def states_one_hot(spark, d):
 
 
 @query(r"""SELECT row_id, CAST(i AS INTEGER) AS i, coalesce(CASE WHEN x <> 'NA' THEN try_cast(x AS DOUBLE) END, 'NaN'::DOUBLE) AS v FROM (
-  SELECT row_id, i, CASE i WHEN 0 THEN copynumber WHEN 1 THEN trim(segmented, chr(13)) END AS x FROM cnvs_hw, range(3) r(i) WHERE regexp_full_match(coalesce(copynumber, 'NA'), 'NA|[-+]?[0-9.]+') AND regexp_full_match(coalesce(trim(segmented, chr(13)), 'NA'), 'NA|[-+]?[0-9.]+'))""")
+  SELECT row_id, i, CASE i WHEN 0 THEN copynumber WHEN 1 THEN trim(segmented, chr(13)) END AS x FROM cnvs_hw, range(3) r(i))""")
 def default_vectors(spark, d):
     """Value fields of every line; ``NA``, missing and unreadable ones as NaN."""
     c = table(spark, d, "cnvs_hw")

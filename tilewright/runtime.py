@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _LOCAL_ROOT: dict[str, str] = {}
 
@@ -72,6 +73,33 @@ class Cut:
 
     def drop(self) -> None:
         """Delete the table; only for tables no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
+
+
+class Rounds:
+    """Tables of the rounds of an iteration, all in one folder, so that one scan reads them together; ``_round`` counts from 0."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.count = spark, 0
+        self.path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """Writes the next round and reads it back."""
+        self.schema = df.schema
+        at = f"{self.path}/_round={self.count}"
+        df.write.parquet(at)
+        self.count += 1
+        return self.spark.read.schema(self.schema).parquet(at)
+
+    def all(self) -> DataFrame:
+        schema = T.StructType([*self.schema.fields, T.StructField("_round", T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def drop(self) -> None:
+        """Delete the tables; only when no later plan reads them."""
+        remove(self.spark, self.path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tilewright.functions import reads
 from tilewright.functions.columns import default_vector, strand, variant_end
 from tilewright.model.coords import Chromsizes, natural_key
+from tilewright.operators.gff_parents import percent_decoded
 
 #: contigs that a driver takes
 MOST = 1_000_000
@@ -69,10 +71,11 @@ def read_bedpe(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
-    """(type, id, chrom, start, end, strand, score, phase, attributes) of GFF3 or GTF: 1-based, both ends included; ``.`` is null."""
+    """(type, id, chrom, start, end, strand, score, phase, attributes) of GFF3 or GTF: 1-based, both ends included; ``.`` is null. ``%XX`` in ids stands for its character, as it does in parents."""
     f = lines(spark, path, ("#",)).withColumn("_f", F.split("value", "\t", 9))
     attributes = _field(8)
-    own = F.nullif(F.regexp_extract(attributes, r"(?:\A|;)\s*ID\s*=\s*([^;]*)", 1), F.lit(""))
+    own = F.nullif(F.btrim(F.regexp_extract(attributes, r"(?:\A|;)\s*ID\s*=([^;]*)", 1)), F.lit(""))
+    own = F.when(own.contains("%"), percent_decoded(own)).otherwise(own)
     tag = F.when(_field(2).isin("gene", "pseudogene"), "gene_id").when(~_field(2).isin("exon", "CDS"), "transcript_id")
     gtf = F.when(tag == "gene_id", F.regexp_extract(attributes, r'gene_id\s+"([^"]*)"', 1)).when(tag == "transcript_id", F.regexp_extract(attributes, r'transcript_id\s+"([^"]*)"', 1))
     rows = f.select(
@@ -124,13 +127,36 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
-    """(chrom, chunk_no, seq): sequences in pieces of ``chunk`` bases, so that a slice reads few of them. A record is parsed as one string."""
-    records = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
-    head = F.regexp_extract("value", r"\A([^\n]*)", 1)
-    seq = F.regexp_replace(F.substr("value", F.length(head) + 1), r"\s", "")
-    name = F.split_part(F.regexp_replace(head, r"\s", " "), F.lit(" "), F.lit(1))
-    pieces = records.select(name.alias("chrom"), seq.alias("_s")).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("_s") - 1) / chunk).cast("int")))))
-    return pieces.select("chrom", "chunk_no", F.substr("_s", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("seq"))
+    """(chrom, chunk_no, seq): sequences in pieces of ``chunk`` bases, so that a slice reads few of them.
+
+    A header is a line that begins with ``>``; its first word names the sequence, lines before the first one are left out. Lines are
+    numbered within their input split and splits are summed up by file, so neither a file nor a sequence is ever in one task.
+    """
+    raw = spark.read.text(path).select(
+        F.regexp_replace("value", r"\s+\z", "").alias("_l"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_o")
+    )
+    head = F.col("_l").startswith(">")
+    name = F.when(head, F.split_part(F.regexp_replace(F.substr("_l", F.lit(2)), r"\s", " "), F.lit(" "), F.lit(1)))
+    lines = raw.select("_f", "_b", "_o", name.alias("_n"), F.when(head, "").otherwise(F.regexp_replace("_l", r"\s", "")).alias("_s"))
+    # within a split: the bases up to each line and up to the header above it
+    so_far = W.partitionBy("_f", "_b").orderBy("_o").rowsBetween(W.unboundedPreceding, 0)
+    lines = lines.withColumns({"_to": F.sum(F.length("_s")).over(so_far), "_own": F.last("_n", ignorenulls=True).over(so_far)})
+    lines = lines.withColumn("_from", F.last(F.when(F.col("_n").isNotNull(), F.col("_to")), ignorenulls=True).over(so_far))
+    splits = lines.groupBy("_f", "_b").agg(F.max_by(F.struct("_own", (F.col("_to") - F.coalesce("_from", F.lit(0))).alias("_tail")), "_o").alias("_e"))
+    # a row a split: what the splits before it leave open
+    by_file = W.partitionBy("_f").orderBy("_b")
+    splits = splits.select("_f", "_b", F.col("_e._own").alias("_own"), F.col("_e._tail").alias("_tail")).withColumn("_group", F.count("_own").over(by_file))
+    before = splits.withColumns({"_sum": F.sum("_tail").over(W.partitionBy("_f", "_group").orderBy("_b")), "_name": F.last("_own", ignorenulls=True).over(by_file.rowsBetween(W.unboundedPreceding, 0))})
+    before = before.select("_f", "_b", F.lag("_name").over(by_file).alias("_name"), F.coalesce(F.lag("_sum").over(by_file), F.lit(0)).alias("_sum"))
+    placed = lines.where("_n is null and _s <> ''").join(before, ["_f", "_b"])
+    at = F.col("_to") - F.length("_s") - F.coalesce("_from", -F.col("_sum"))
+    placed = placed.select(F.coalesce("_own", "_name").alias("chrom"), at.alias("_at"), "_s").where("chrom is not null")
+    first, last = F.floor(F.col("_at") / chunk), F.floor((F.col("_at") + F.length("_s") - 1) / chunk)
+    pieces = placed.withColumn("chunk_no", F.explode(F.sequence(first, last)))
+    lo = F.greatest(F.col("chunk_no") * chunk - F.col("_at"), F.lit(0))
+    piece = F.substr("_s", (lo + 1).cast("int"), (F.least((F.col("chunk_no") + 1) * chunk - F.col("_at"), F.length("_s")) - lo).cast("int"))
+    whole = pieces.groupBy("chrom", F.col("chunk_no").cast("int").alias("chunk_no")).agg(F.array_sort(F.collect_list(F.struct("_at", piece.alias("_p")))).alias("_l"))
+    return whole.select("chrom", "chunk_no", F.array_join(F.transform("_l", lambda x: x["_p"]), "").alias("seq"))
 
 
 def fasta_lengths(chunks: DataFrame) -> DataFrame:
