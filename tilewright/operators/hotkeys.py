@@ -54,6 +54,8 @@ def tree_aggregate(
     while nodes > 1:
         tree = tree.withColumn("_node", F.expr(f"_node div {fan_in}")).groupBy(*key_names, "_node").agg(*merge)
         nodes = -(-nodes // fan_in)
+    # one node is left by now, unless the input has more partitions when it is run than were counted
+    tree = tree.groupBy(*key_names).agg(*merge)
     out = [F.col(n).alias(k) for k, n in zip(keys, key_names)]
     for i, (name, (kind, _)) in enumerate(aggs.items()):
         if kind == "avg":
