@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
 import pytest
 
 from tilewright.operators import hotkeys, orphans, strict_load
@@ -186,6 +187,14 @@ def test_orphans(spark):
     assert lost.count() == sum(k is not None for _, k, _ in refs)
 
 
+def test_bitmaps_are_stored_short_and_equal():
+    rnd = np.random.default_rng(1)
+    for n in (0, 1, 5, 4095, 4096, 4097, 60_000, 65_536):
+        low = rnd.permutation(1 << 16)[:n]
+        stored = orphans.packed(low)
+        assert len(stored) == min(2 * n, 8192) and np.flatnonzero(np.unpackbits(orphans.bits_of(stored))).tolist() == sorted(low.tolist())
+
+
 # ----------------------------------------------------------------------------------------------- periods
 
 
