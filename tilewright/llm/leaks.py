@@ -167,11 +167,10 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, longest
 
 
-def regions(at: list[int], reach: int, n: int) -> list[tuple[int, int]]:
-    """The stretches of a document of ``n`` words within ``reach`` words of a seed, merged where they overlap."""
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches that overlap or touch as one."""
     out: list[list[int]] = []
-    for p in sorted(at):
-        lo, hi = max(0, p - reach), min(n, p + reach)
+    for lo, hi in sorted(spans):
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
@@ -179,6 +178,11 @@ def regions(at: list[int], reach: int, n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def regions(at: list[int], reach: int, n: int) -> list[tuple[int, int]]:
+    """The stretches of a document of ``n`` words within ``reach`` words of a seed, merged where they overlap."""
+    return merged([(max(0, p - reach), min(n, p + reach)) for p in at])
+
+
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, max_items: int, max_chars: int) -> Iterator[list]:
     """The items (i, t) in blocks of at most ``max_items`` rows and ``max_chars`` characters (or one longer item).
 
@@ -294,17 +298,20 @@ class Pairs:
     it is shorter). If a longer one is aligned with a share of a full match, so is one of its halves. An alignment of ``a``
     equal words and ``e`` mismatches and gaps has the score 2a - e, with a <= l. If the score is s >= share * 2l, then
     e <= 2l - s. The equal words stand in e + 1 runs at most, so a - e - 1 >= s - l - 1 pairs of successive item words stand in
-    the document, on a + e <= 3l - s of its words. Both bounds are taken at their loosest.
+    the document, on a + e <= 3l - s of its words and on diagonals that are e apart at most.
     """
 
     keys: np.ndarray
-    #: items of pair ``g``: ``items[bounds[g] : bounds[g + 1]]``; pairs of item ``k``: ``own[k]``
+    #: items of pair ``g``: ``items[bounds[g] : bounds[g + 1]]``; pairs of item ``k`` in its order: ``own[k]``
     bounds: np.ndarray
     items: np.ndarray
     own: list[np.ndarray]
     low: np.ndarray
+    #: (pairs, words of the document) of each passage length of item ``k``, the fewest pairs first
+    bars: list[list[tuple[int, int]]]
     need: np.ndarray
-    span: np.ndarray
+    #: how many diagonals an alignment may move over
+    drift: np.ndarray
     base: int
     single: bool
 
@@ -313,18 +320,20 @@ class Pairs:
         if not 0.75 < share <= 1:
             raise ValueError("below a share of 0.75 an alignment need not keep a pair of words")
         base = len(items.vocabulary) + 1
-        raw = [np.unique(c[:-1].astype(np.int64) * base + c[1:] if len(c) > 1 else c.astype(np.int64)) for c in items.coded]
+        raw = [c[:-1].astype(np.int64) * base + c[1:] if len(c) > 1 else c.astype(np.int64) for c in items.coded]
         keys = np.unique(np.concatenate([np.zeros(0, np.int64), *raw]))
         own = [np.searchsorted(keys, r) for r in raw]
-        pair = np.concatenate([np.zeros(0, np.int64), *own])
-        item = np.repeat(np.arange(len(own)), [len(o) for o in own])
+        each = [np.unique(o) for o in own]
+        pair = np.concatenate([np.zeros(0, np.int64), *each])
+        item = np.repeat(np.arange(len(own)), [len(o) for o in each])
         size = np.array([len(c) for c in items.coded], np.int64)
         low = np.minimum(size, min_words)
-        high = np.maximum(low, np.minimum(size, 2 * low - 1))
         bounds = np.searchsorted(np.sort(pair), np.arange(len(keys) + 1))
-        need = np.maximum(1, least_score(low, share) - low - 1)
-        span = np.maximum(1, np.array([max((3 * n - int(least_score(n, share)) for n in range(a, b + 1)), default=1) for a, b in zip(low.tolist(), high.tolist())], np.int64))
-        return cls(keys, bounds, item[np.argsort(pair, kind="stable")], own, low, need, span, base, bool((size == 1).any()))
+        bars = [_bars(a, min(b, 2 * a - 1), share) for a, b in zip(low.tolist(), size.tolist())]
+        need = np.array([b[0][0] if b else 1 for b in bars], np.int64)
+        high = np.minimum(size, np.maximum(2 * low - 1, 0))
+        drift = 2 * high - np.floor(MATCH * share * high).astype(np.int64)
+        return cls(keys, bounds, item[np.argsort(pair, kind="stable")], own, low, bars, need, drift, base, bool((size == 1).any()))
 
     def held(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a document, sorted, and their places."""
@@ -354,11 +363,35 @@ class Pairs:
         total = np.bincount(self.items[entry], np.repeat(times, length), len(self.own))
         for k in np.flatnonzero(total >= self.need).tolist():
             lo, hi = np.searchsorted(g, self.own[k]), np.searchsorted(g, self.own[k], "right")
-            places = np.sort(np.concatenate([at[a:b] for a, b in zip(lo.tolist(), hi.tolist())]))
-            n, span = int(self.need[k]) - 1, int(self.span[k])
-            dense = np.flatnonzero(places[n:] - places[: len(places) - n] < span)
-            if len(dense):
-                yield k, regions(places[dense].tolist(), span, len(doc))
+            n_at = hi - lo
+            row = np.repeat(np.arange(len(lo)), n_at)
+            places = at[np.arange(n_at.sum()) - np.repeat(np.cumsum(n_at) - n_at, n_at) + np.repeat(lo, n_at)]
+            # bands of diagonals, twice and half a band apart, so that any alignment lies in one of them; far apart on one axis
+            wide, far = 2 * int(self.drift[k]) + 2, 4 * len(doc)
+            diagonal = places - row + len(lo)
+            bands = np.concatenate([2 * (diagonal // wide), 2 * ((diagonal + wide // 2) // wide) + 1])
+            axis = np.sort(bands * far + np.concatenate([places, places]))
+            near = []
+            n, widest = int(self.need[k]), max(span for _, span in self.bars[k])
+            if n > len(axis) or (axis[n - 1 :] - axis[: len(axis) - n + 1]).min() >= widest:
+                continue
+            for n, span in self.bars[k]:
+                if n > len(axis):
+                    break
+                first = np.flatnonzero(axis[n - 1 :] - axis[: len(axis) - n + 1] < span)
+                if len(first):
+                    near += zip(np.maximum(axis[first + n - 1] % far - span, 0).tolist(), np.minimum(axis[first] % far + span + 1, len(doc)).tolist())
+            if near:
+                yield k, merged(near)
+
+
+def _bars(low: int, high: int, share: float) -> list[tuple[int, int]]:
+    """What an alignment keeps of a passage of each length: at least so many pairs on at most so many words of the document."""
+    out = []
+    for n in range(low, high + 1):
+        least = int(least_score(n, share))
+        out.append((max(1, least - n - 1), max(1, 3 * n - least)))
+    return sorted(out)
 
 
 def least_score(words: int | np.ndarray, share: float) -> np.ndarray:
@@ -366,29 +399,47 @@ def least_score(words: int | np.ndarray, share: float) -> np.ndarray:
     return np.ceil(MATCH * share * np.asarray(words, np.int64) - 1e-9).astype(np.int64)
 
 
-def passages(doc: np.ndarray, item: np.ndarray, low: int) -> tuple[int, int]:
+def passages(doc: np.ndarray, item: np.ndarray, low: int, share: float = 0.0) -> tuple[int, int]:
     """(score, words) of the item's passage of ``low`` to ``2 * low - 1`` words with the best share of a full match, the longest of equals.
 
-    The alignments of the passages that begin at each item word are computed side by side, one item word of all of them a step.
+    The alignments of the passages that begin at each item word are computed side by side, one item word of all of them a step. With a
+    ``share``, passages that cannot reach it are passed over: of an alignment with score s, the equal words and the pairs of successive
+    equal words are s - 1 or more together.
     """
     m, most = len(item), min(len(item), 2 * low - 1)
-    starts = m - low + 1
-    slope = GAP * np.arange(len(doc))
-    score = np.zeros((starts, len(doc)), np.int64)
-    before = np.zeros_like(score)
-    seen = np.zeros(starts, np.int64)
-    best = (0, low)
     padded = np.concatenate([item, np.full(most, -1, item.dtype)])
     same = (padded[:, None] == doc[None, :]) & (padded[:, None] > 0)
+    starts = np.arange(m - low + 1)
+    if share:
+        equal = np.concatenate([[0], np.cumsum(same.any(axis=1))])
+        pairs = np.concatenate([[0], np.cumsum((same[:-1, :-1] & same[1:, 1:]).any(axis=1))])
+        good = np.zeros(len(starts), bool)
+        for n in range(low, most + 1):
+            at = starts[: m - n + 1]
+            good[: len(at)] |= equal[at + n] - equal[at] + pairs[at + n - 1] - pairs[at] >= least_score(n, share) - 1
+        starts = starts[good]
+        if not len(starts):
+            return 0, low
+    gain = np.where(same, MATCH, MISMATCH).astype(np.int16)
+    slope = (GAP * np.arange(len(doc))).astype(np.int16) if len(doc) < 30_000 else GAP * np.arange(len(doc))
+    score = np.zeros((len(starts), len(doc)), slope.dtype)
+    up = np.empty_like(score)
+    seen = np.zeros(len(starts), np.int64)
+    best = (0, low)
     for step in range(most):
-        before[:, 1:] = score[:, :-1]
-        up = np.maximum(np.where(same[step : step + starts], before + MATCH, before + MISMATCH), score + GAP)
+        up[:, :1] = 0
+        up[:, 1:] = score[:, :-1]
+        up += gain[starts + step]
+        np.maximum(up, score + GAP, out=up)
         np.maximum(up, 0, out=up)
-        score = np.maximum(np.maximum.accumulate(up - slope, axis=1) + slope, 0)
-        seen = np.maximum(seen, score.max(axis=1, initial=0))
+        up -= slope
+        np.maximum.accumulate(up, axis=1, out=score)
+        score += slope
+        np.maximum(seen, score.max(axis=1, initial=0), out=seen)
         n = step + 1
         if n >= low:
-            top = int(seen[: m - n + 1].max())
+            inside = seen[starts <= m - n]
+            top = int(inside.max()) if len(inside) else 0
             if top * best[1] >= best[0] * n:
                 best = (top, n)
     return best
@@ -432,7 +483,7 @@ def _alignments(documents: DataFrame, rows: list, item_type, share: float, doc_i
                 doc = items.code(words_of(t))
                 for k, places in pairs.candidates(doc):
                     item, low = items.coded[k], int(pairs.low[k])
-                    found = [passages(doc[a:b], item, low) for a, b in places]
+                    found = [passages(doc[a:b], item, low, share) for a, b in places]
                     best, n = max(found, key=lambda f: (f[0] / f[1], f[1]))
                     if best >= least_score(n, share):
                         out.append((i, items.ids[k], best, n, max(align(doc[a:b], item)[1] for a, b in places), len(item)))
