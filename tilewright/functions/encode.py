@@ -39,3 +39,22 @@ def decode_dense(payload: dict) -> np.ndarray:
 def dense_tile(values: pd.Series) -> pd.DataFrame:
     """Payload of an array of doubles a row; nulls are NaN."""
     return pd.DataFrame([dense_payload(np.array([np.nan if x is None else x for x in (v if v is not None else [])], float)) for v in values], columns=["dense", "dtype", "size", "min_value", "max_value"])
+
+
+def tile_of_cells(rows: int, columns: int, fill: float):
+    """A column function (at, value, inside_rows, inside_columns) -> payload of a tile of ``rows`` x ``columns`` cells: ``fill``, NaN
+    outside the given corner, and the values at their places (a null value is NaN)."""
+
+    @F.pandas_udf(PAYLOAD)
+    def encode(at: pd.Series, value: pd.Series, inside_rows: pd.Series, inside_columns: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, v, r, c in zip(at, value, inside_rows, inside_columns):
+            cells = np.full((rows, columns), fill)
+            cells[r:, :] = np.nan
+            cells[:, c:] = np.nan
+            if a is not None and len(a):
+                cells.ravel()[np.asarray(a, np.int64)] = np.asarray(v, np.float64)
+            out.append(dense_payload(cells))
+        return pd.DataFrame(out, columns=["dense", "dtype", "size", "min_value", "max_value"])
+
+    return encode

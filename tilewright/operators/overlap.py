@@ -96,20 +96,59 @@ def to_absolute(df: DataFrame, chromsizes: DataFrame, chrom: str = "chrom", star
     return joined.withColumns({f"{prefix}_start": F.col(f"{prefix}_offset") + F.col(start), f"{prefix}_end": F.col(f"{prefix}_offset") + F.col(end)})
 
 
-def with_tiles(df: DataFrame, widths: dict[int, int], start: str, end: str) -> DataFrame:
-    """A row per record, zoom and tile met: adds z and x. ``widths``: tile width of each zoom."""
-    levels = F.explode(F.array(*[F.struct(F.lit(z).alias("z"), F.lit(w).cast("bigint").alias("w")) for z, w in widths.items()]))
-    at = df.withColumn("_l", levels)
-    return at.withColumn("x", F.explode(tile_range(F.col(start), F.col(end), F.col("_l.w")))).withColumn("z", F.col("_l.z")).drop("_l")
+#: (zoom -> first and last requested tile, by runs of successive ones) along one axis
+Runs = dict[int, list[tuple[int, int]]]
 
 
-def join_tiles(records: DataFrame, tiles: DataFrame, widths: dict[int, int], start: str = "x_start", end: str = "x_end") -> DataFrame:
-    """Records with each requested tile (columns z, x) that they meet, as an equi-join."""
-    return with_tiles(records, widths, start, end).join(tiles, ["z", "x"])
+def runs_of(places: list[tuple[int, int]], most: int = 64) -> Runs:
+    """The requested (zoom, position) as runs of successive tiles; with more than ``most`` runs at a zoom, the whole stretch is one."""
+    out: Runs = {}
+    for z, x in sorted(set(places)):
+        own = out.setdefault(z, [])
+        if own and x == own[-1][1] + 1:
+            own[-1] = (own[-1][0], x)
+        else:
+            own.append((x, x))
+    return {z: r if len(r) <= most else [(r[0][0], r[-1][1])] for z, r in out.items()}
 
 
-def join_tiles_2d(records: DataFrame, tiles: DataFrame, widths: dict[int, int], xs: tuple[str, str], ys: tuple[str, str]) -> DataFrame:
+def near(runs: Runs, widths: dict[int, int], start: str, end: str) -> Column:
+    """Records that meet one of the runs: plain comparisons, which a scan can use to skip data."""
+    return reduce(or_, [(F.col(start) < (b + 1) * widths[z]) & (F.col(end) > a * widths[z]) for z, r in runs.items() for a, b in r], F.lit(False))
+
+
+def with_tiles(df: DataFrame, widths: dict[int, int], start: str, end: str, runs: Runs | None = None, name: str = "x") -> DataFrame:
+    """A row per record, zoom and tile met, with z and the position ``name``. ``widths``: tile width of each zoom. ``runs``: only
+    positions between the first and the last requested one of a zoom."""
+    hull = {z: (r[0][0], r[-1][1]) for z, r in (runs or {}).items()}
+    struct = lambda z, w: F.struct(F.lit(z).alias("z"), *[F.lit(v).cast("bigint").alias(n) for n, v in zip("wab", (w, *hull.get(z, ())))])
+    at = df.withColumn("_l", F.explode(F.array(*[struct(z, w) for z, w in widths.items()])))
+    return _tiles_of(at, F.col("_l.w"), start, end, name, runs is not None).withColumn("z", F.col("_l.z")).drop("_l")
+
+
+def _tiles_of(df: DataFrame, width: Column, start: str, end: str, name: str, cut: bool) -> DataFrame:
+    lo, hi = F.col(start), F.col(end)
+    if cut:
+        lo, hi = F.greatest(lo, F.col("_l.a") * width), F.least(hi, (F.col("_l.b") + 1) * width)
+    return df.withColumn(name, F.explode(tile_range(lo, hi, width)))
+
+
+def join_tiles(records: DataFrame, tiles: DataFrame, widths: dict[int, int], start: str = "x_start", end: str = "x_end", runs: Runs | None = None) -> DataFrame:
+    """Records with each requested tile (columns z, x) that they meet, as an equi-join. With the ``runs`` of the requested tiles, the
+    scan is cut to them and no record is expanded beyond them."""
+    if runs is not None:
+        records = records.where(near(runs, widths, start, end))
+    return with_tiles(records, widths, start, end, runs).join(tiles, ["z", "x"])
+
+
+def join_tiles_2d(
+    records: DataFrame, tiles: DataFrame, widths: dict[int, int], xs: tuple[str, str], ys: tuple[str, str], runs: tuple[Runs, Runs] | None = None
+) -> DataFrame:
     """The same for rectangles and tiles (z, x, y)."""
-    across = with_tiles(records, widths, *xs)
-    width = F.create_map(*[F.lit(v) for z, w in widths.items() for v in (z, w)])[F.col("z")].cast("bigint")
-    return across.withColumn("y", F.explode(tile_range(F.col(ys[0]), F.col(ys[1]), width))).join(tiles, ["z", "x", "y"])
+    if runs is not None:
+        records = records.where(near(runs[0], widths, *xs) & near(runs[1], widths, *ys))
+    across = with_tiles(records, widths, *xs, runs[0] if runs else None)
+    hull = {z: (r[0][0], r[-1][1]) for z, r in runs[1].items()} if runs else {}
+    level = F.create_map(*[x for z, w in widths.items() for x in (F.lit(z), F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip("wab", (w, *hull.get(z, ())))]))])
+    both = _tiles_of(across.withColumn("_l", level[F.col("z")]), F.col("_l.w"), *ys, "y", runs is not None).drop("_l")
+    return both.join(tiles, ["z", "x", "y"])

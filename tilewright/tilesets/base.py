@@ -12,6 +12,7 @@ from tilewright.model.errors import MalformedTileId, TileError
 from tilewright.model.info import TilesetInfo
 from tilewright.model.policies import TilePolicy
 from tilewright.model.tileid import ModifierSpec, TileId
+from tilewright.operators.overlap import Runs, runs_of
 
 
 class Tileset(ABC):
@@ -74,6 +75,11 @@ class Tileset(ABC):
     def _places(self, places: list[tuple[int, ...]]) -> DataFrame:
         return self.spark.createDataFrame(places, "z int, x bigint" + ", y bigint" * (self.ndim == 2))
 
+    @staticmethod
+    def runs(places: DataFrame, axis: str = "x") -> Runs:
+        """The requested positions along an axis; ``places`` is local data, so no job is run."""
+        return runs_of([(r["z"], r[axis]) for r in places.collect()])
+
     @abstractmethod
     def fetch(self, places: DataFrame, widths: dict[int, int], modifier: str | None, settings: dict) -> dict[tuple[int, ...], object]:
         """Payloads by place; places without data may be left out."""

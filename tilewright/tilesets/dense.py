@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.functions.encode import dense_payload
+from tilewright.functions.encode import dense_payload, tile_of_cells
 from tilewright.model.coords import Chromsizes
 from tilewright.model.errors import MalformedTileId
 from tilewright.model.info import TilesetInfo
@@ -20,16 +23,21 @@ MODES = {"mean": ("mean",), "min": ("min",), "max": ("max",), "std": ("std",), "
 
 
 class DenseTileset(Tileset):
-    def filled(self, rows: DataFrame, shape: tuple[int, ...], start: dict[tuple[int, ...], np.ndarray] | None = None) -> dict:
-        """Payloads from rows (place, _at, _v): the values a tile's cells hold. A tile has as many cells as its shape, so what is collected is bounded."""
-        out: dict[tuple[int, ...], np.ndarray] = {p: a.copy() for p, a in (start or {}).items()}
-        packed = rows.groupBy(*self.key).agg(F.collect_list(F.struct("_at", "_v")).alias("_l"))
-        for r in packed.toLocalIterator():
-            place = tuple(r[k] for k in self.key)
-            cells = out.setdefault(place, np.zeros(int(np.prod(shape))))
-            for c in r["_l"]:
-                cells[c["_at"]] = np.nan if c["_v"] is None else c["_v"]
-        return {p: dense_payload(a) | {"shape": list(shape)} for p, a in out.items()}
+    def filled(self, parts: list[DataFrame], shape: tuple[int, ...], fill: float, inside: dict[tuple[int, ...], tuple[int, int]]) -> dict:
+        """Payloads of the places of ``inside`` from rows (place, _at, _v), the values of a tile's cells, all in one job.
+
+        ``inside``: how many rows and columns of a place lie within the data's extent; beyond it cells are NaN, within it ``fill`` if they
+        have no value. Tiles are put together and encoded by the executors, and only their texts come back.
+        """
+        rows, columns = (1, shape[0]) if len(shape) == 1 else shape
+        kinds = "z int, x bigint" + ", y bigint" * (self.ndim == 2)
+        corners = self.spark.createDataFrame([(*p, *i) for p, i in inside.items()], f"{kinds}, _r int, _c int")
+        cells = reduce(DataFrame.unionByName, parts).groupBy(*self.key).agg(F.collect_list(F.struct("_at", F.coalesce("_v", F.lit(float("nan"))).alias("_v"))).alias("_l"))
+        tile = tile_of_cells(rows, columns, fill)("_l._at", "_l._v", "_r", "_c")
+        out = {}
+        for r in corners.join(cells, self.key, "left").select(*self.key, tile.alias("_p")).toLocalIterator():
+            out[tuple(r[k] for k in self.key)] = r["_p"].asDict() | {"shape": list(shape)}
+        return out
 
 
 class SignalTileset(DenseTileset):
@@ -48,22 +56,33 @@ class SignalTileset(DenseTileset):
         return cls(spark, overlap.to_absolute(read_bedgraph(spark, path), chromsizes.frame(spark)), chromsizes, **more)
 
     def fetch(self, places, widths, modifier, settings):
-        shown, size, out = MODES[modifier], self._info.tile_size, {}
+        shown, size, parts, inside = MODES[modifier], self._info.tile_size, [], {}
         for z, width in widths.items():
             binsize = width // size
             here = places.where(F.col("z") == z)
-            hit = overlap.join_tiles(self.records, here, {z: width}).select("z", "x", F.greatest("x_start", F.col("x") * width).alias("_a"), F.least("x_end", (F.col("x") + 1) * width).alias("_b"), "value")
-            stats = signal.bin_stats(hit, ["z", "x"], "_a", "_b", "value", binsize)
+            hit = overlap.join_tiles(self.values(binsize), here, {z: width}, runs={z: self.runs(places)[z]})
+            stats = self.stats(hit.withColumns({"_a": F.greatest("x_start", F.col("x") * width), "_b": F.least("x_end", (F.col("x") + 1) * width)}), binsize)
             cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(s).alias("v")) for i, s in enumerate(shown)]))
-            rows = stats.select("z", "x", "bin", cells.alias("_c")).select("z", "x", ((F.col("bin") - F.col("x") * size) * len(shown) + F.col("_c.i")).cast("int").alias("_at"), F.col("_c.v").alias("_v"))
-            start = {(z, r["x"]): self._blank(r["x"], width, binsize, len(shown)) for r in here.select("x").collect()}
-            out |= self.filled(rows, (size * len(shown),), start)
-        return out
+            rows = stats.select("z", "x", "bin", cells.alias("_c"))
+            parts.append(rows.select("z", "x", ((F.col("bin") - F.col("x") * size) * len(shown) + F.col("_c.i")).cast("int").alias("_at"), F.col("_c.v").alias("_v")))
+            for r in here.collect():
+                inside[z, r["x"]] = (1, self._inside(r["x"], width, binsize, len(shown)))
+        return self.filled(parts, (size * len(shown),), 0.0, inside)
+
+    def values(self, binsize: int) -> DataFrame:
+        """The intervals from which bins of this size are made."""
+        return self.records
+
+    def stats(self, hit: DataFrame, binsize: int) -> DataFrame:
+        """What the modes show of each bin, from intervals cut to their tile (_a, _b)."""
+        return signal.bin_stats(hit.select("z", "x", "_a", "_b", "value"), ["z", "x"], "_a", "_b", "value", binsize)
+
+    def _inside(self, x: int, width: int, binsize: int, per_bin: int) -> int:
+        return min(self._info.tile_size, -(-max(0, self.total - x * width) // binsize)) * per_bin
 
     def _blank(self, x: int, width: int, binsize: int, per_bin: int) -> np.ndarray:
         cells = np.zeros(self._info.tile_size * per_bin)
-        inside = -(-max(0, self.total - x * width) // binsize)
-        cells[inside * per_bin :] = np.nan
+        cells[self._inside(x, width, binsize, per_bin) :] = np.nan
         return cells
 
     def empty(self, t: TileId):
@@ -93,7 +112,7 @@ class VectorTileset(DenseTileset):
         return {"groups": groups, "function": function}
 
     def fetch(self, places, widths, modifier, settings):
-        size, out = self._info.tile_size, {}
+        size, parts = self._info.tile_size, []
         ladder = sorted(self._info.resolutions, reverse=True)
         frame = self.chromsizes.frame(self.spark).select("chrom", "chrom_offset")
         groups = settings.get("groups")
@@ -102,14 +121,22 @@ class VectorTileset(DenseTileset):
             binsize = ladder[z]
             level = len(ladder) - 1 - z
             at = F.floor((F.col("chrom_offset") + F.col("bin") * binsize) / binsize + 0.5)
-            rows = self.records.where(F.col("level") == level).join(frame, "chrom").withColumn("_b", at)
+            rows = self.records.where((F.col("level") == level) & self._meets(binsize, self.runs(places)[z])).join(frame, "chrom").withColumn("_b", at)
             rows = rows.withColumn("x", F.floor(F.col("_b") / size)).withColumn("z", F.lit(z)).join(places, ["z", "x"])
             rows = rows.groupBy("z", "x", "_b", "row").agg(F.max_by("value", F.struct("chrom_offset", "bin")).alias("value"))
             if groups:
                 rows = signal.aggregate_row_groups(rows.withColumn("row", F.col("row").cast("bigint")), "row", ["z", "x", "_b"], "value", groups, settings["function"]).withColumnRenamed("group_no", "row")
-            cells = rows.select("z", "x", (F.col("row") * size + F.col("_b") - F.col("x") * size).cast("int").alias("_at"), F.col("value").alias("_v"))
-            out |= self.filled(cells, (n, size))
-        return out
+            parts.append(rows.select("z", "x", (F.col("row") * size + F.col("_b") - F.col("x") * size).cast("int").alias("_at"), F.col("value").cast("double").alias("_v")))
+        return self.filled(parts, (n, size), 0.0, {(r["z"], r["x"]): (n, size) for r in places.collect()})
+
+    def _meets(self, binsize: int, runs: list[tuple[int, int]]):
+        """The bins of each contig that the requested tiles may show, as comparisons for the scan."""
+        width, terms = binsize * self._info.tile_size, []
+        for a, b in runs:
+            for g in self.chromsizes.invert(max(0, a * width - binsize), (b + 1) * width + binsize):
+                if not g.is_out_of_bounds:
+                    terms.append((F.col("chrom") == g.name) & (F.col("bin") >= g.start // binsize) & (F.col("bin") <= g.end // binsize))
+        return reduce(or_, terms, F.lit(False))
 
     def empty(self, t: TileId):
         return dense_payload(np.zeros(self.n_rows * self._info.tile_size)) | {"shape": [self.n_rows, self._info.tile_size]}
@@ -130,19 +157,23 @@ class ContactTileset(DenseTileset):
         self.total = Chromsizes(info.chromsizes).total_length
 
     def fetch(self, places, widths, modifier, settings):
-        size, out = self._info.tile_size, {}
+        size, parts, inside = self._info.tile_size, [], {}
         for z in widths:
             binsize = self._info.resolution_for(z)
-            px = self.pixels.where(F.col("resolution") == binsize).select("bin1_id", "bin2_id", "count")
+            xs, ys = ({z: self.runs(places, axis)[z]} for axis in "xy")
+            at = lambda c, runs, z=z: reduce(or_, [F.col(c).between(a * size, (b + 1) * size - 1) for a, b in runs[z]])
+            wanted = (at("bin1_id", ys) & at("bin2_id", xs)) | (at("bin1_id", xs) & at("bin2_id", ys))
+            px = self.pixels.where((F.col("resolution") == binsize) & wanted).select("bin1_id", "bin2_id", "count")
             if modifier == "default" and self.weights is not None:
                 px = contacts.balanced(px, self.weights.where(F.col("resolution") == binsize)).select("bin1_id", "bin2_id", F.col("balanced").alias("count"))
             full = contacts.mirrored(px).withColumns({"x": F.floor(F.col("bin2_id") / size), "y": F.floor(F.col("bin1_id") / size), "z": F.lit(z)})
             here = places.where(F.col("z") == z)
             at = ((F.col("bin1_id") - F.col("y") * size) * size + F.col("bin2_id") - F.col("x") * size).cast("int")
-            rows = full.join(here, self.key).select(*self.key, at.alias("_at"), F.col("count").cast("double").alias("_v"))
-            start = {(z, r["x"], r["y"]): self._blank(r["x"], r["y"], binsize) for r in here.collect()}
-            out |= self.filled(rows, (size, size), start)
-        return out
+            parts.append(full.join(here, self.key).select(*self.key, at.alias("_at"), F.col("count").cast("double").alias("_v")))
+            n = -(-self.total // binsize)
+            for r in here.collect():
+                inside[z, r["x"], r["y"]] = tuple(min(size, max(0, n - r[axis] * size)) for axis in "yx")
+        return self.filled(parts, (size, size), 0.0, inside)
 
     def _blank(self, x: int, y: int, binsize: int) -> np.ndarray:
         size = self._info.tile_size

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import reads as R
-from tilewright.functions.columns import y_to_lat
+from tilewright.functions.columns import lat_to_y, y_to_lat
 from tilewright.functions.encode import dense_payload
 from tilewright.model.errors import TileOutOfBounds
 from tilewright.model.info import TilesetInfo
@@ -31,19 +34,18 @@ class StoredSignalTileset(DenseTileset):
         self.records = store
 
     def fetch(self, places, widths, modifier, settings):
-        size, step, base, out = self._info.tile_size, self._info.extra["zoom_step"], self._info.extra["base"], {}
+        size, step, base, parts = self._info.tile_size, self._info.extra["zoom_step"], self._info.extra["base"], []
         stored = sorted(r["level"] for r in self.records.select("level").distinct().collect())
         for z, width in widths.items():
             binsize = width // size
             level = max((k for k in stored if base << (step * k) <= binsize), default=stored[0])
             k = max(1, binsize // (base << (step * level)))
-            rows = self.records.where(F.col("level") == level).groupBy(F.floor(F.col("bin") / k).alias("_b"))
+            at = reduce(or_, [F.col("bin").between(a * size * k, (b + 1) * size * k - 1) for a, b in self.runs(places)[z]])
+            rows = self.records.where((F.col("level") == level) & at).groupBy(F.floor(F.col("bin") / k).alias("_b"))
             rows = rows.agg(F.sum("total").alias("t"), F.sum("nan_bases").alias("n"), F.sum("bases").alias("b")).where("b > n")
             rows = rows.withColumn("x", F.floor(F.col("_b") / size)).join(places.where(F.col("z") == z), "x")
-            cells = rows.select("z", "x", (F.col("_b") - F.col("x") * size).cast("int").alias("_at"), (F.col("t") / (F.col("b") - F.col("n"))).alias("_v"))
-            start = {(z, r["x"]): np.full(size, np.nan) for r in places.where(F.col("z") == z).collect()}
-            out |= self.filled(cells, (size,), start)
-        return out
+            parts.append(rows.select("z", "x", (F.col("_b") - F.col("x") * size).cast("int").alias("_at"), (F.col("t") / (F.col("b") - F.col("n"))).alias("_v")))
+        return self.filled(parts, (size,), np.nan, {(r["z"], r["x"]): (1, size) for r in places.collect()})
 
     def empty(self, t: TileId):
         return dense_payload(np.full(self._info.tile_size, np.nan))
@@ -59,16 +61,16 @@ class MatrixTileset(DenseTileset):
         self.records, self.zero_is_nan = store, zero_is_nan
 
     def fetch(self, places, widths, modifier, settings):
-        size, out = self._info.tile_size, {}
+        size, parts = self._info.tile_size, []
         for z in widths:
             level = self._info.max_zoom - z
             here = places.where(F.col("z") == z)
-            rows = self.records.where(F.col("level") == level).withColumns({"x": F.floor(F.col("col") / size), "y": F.floor(F.col("row") / size)}).join(here, ["x", "y"])
+            near = [reduce(or_, [F.col(c).between(a * size, (b + 1) * size - 1) for a, b in self.runs(places, axis)[z]]) for c, axis in (("col", "x"), ("row", "y"))]
+            rows = self.records.where((F.col("level") == level) & near[0] & near[1]).withColumns({"x": F.floor(F.col("col") / size), "y": F.floor(F.col("row") / size)}).join(here, ["x", "y"])
             at = ((F.col("row") - F.col("y") * size) * size + F.col("col") - F.col("x") * size).cast("int")
             value = F.nullif("value", F.lit(0.0)) if self.zero_is_nan else F.col("value")
-            start = {(z, r["x"], r["y"]): np.full(size * size, np.nan) for r in here.collect()}
-            out |= self.filled(rows.select("z", "x", "y", at.alias("_at"), value.alias("_v")), (size, size), start)
-        return out
+            parts.append(rows.select("z", "x", "y", at.alias("_at"), value.cast("double").alias("_v")))
+        return self.filled(parts, (size, size), np.nan, {(r["z"], r["x"], r["y"]): (size, size) for r in places.collect()})
 
     def empty(self, t: TileId):
         size = self._info.tile_size
@@ -90,7 +92,7 @@ class DensityTileset(DenseTileset):
         self.points = points
 
     def fetch(self, places, widths, modifier, settings):
-        size, out = self._info.tile_size, {}
+        size, parts = self._info.tile_size, []
         for z in widths:
             cell = self.width / ((1 << z) * size)
             top = (size << z) - 1  # the far edge belongs to the last cell
@@ -98,9 +100,8 @@ class DensityTileset(DenseTileset):
             cells = self.points.groupBy(place("x", self.corner[0]).alias("_i"), place("y", self.corner[1]).alias("_j")).agg(F.count(F.lit(1)).alias("_n"))
             rows = cells.withColumns({"x": F.floor(F.col("_i") / size), "y": F.floor(F.col("_j") / size)}).join(places.where(F.col("z") == z), ["x", "y"])
             at = ((F.col("_j") - F.col("y") * size) * size + F.col("_i") - F.col("x") * size).cast("int")
-            start = {(z, r["x"], r["y"]): np.full(size * size, np.nan) for r in places.where(F.col("z") == z).collect()}
-            out |= self.filled(rows.select("z", "x", "y", at.alias("_at"), F.col("_n").cast("double").alias("_v")), (size, size), start)
-        return out
+            parts.append(rows.select("z", "x", "y", at.alias("_at"), F.col("_n").cast("double").alias("_v")))
+        return self.filled(parts, (size, size), np.nan, {(r["z"], r["x"], r["y"]): (size, size) for r in places.collect()})
 
     def empty(self, t: TileId):
         size = self._info.tile_size
@@ -164,13 +165,22 @@ class GeoTileset(Tileset):
         lng = lambda x: x / n * 360 - 180
         lat = lambda y: y_to_lat(F.lit(180.0) - y / n * 360)
         boxes = places.withColumns({"_w": lng(F.col("x")), "_e": lng(F.col("x") + 1), "_n": lat(F.col("y")), "_s": lat(F.col("y") + 1)})
-        # features are placed at some zoom, so the tiles of their own zoom are few; they meet a requested tile as ancestor or descendant
-        rows = None
-        for b in boxes.collect():
-            meets = (F.col("zoom_level") <= b["z"]) & (F.col("min_lng") <= b["_e"]) & (F.col("max_lng") >= b["_w"]) & (F.col("min_lat") <= b["_n"]) & (F.col("max_lat") >= b["_s"])
-            hit = self.features.where(meets).select(F.lit(b["z"]).alias("z"), F.lit(b["x"]).alias("x"), F.lit(b["y"]).alias("y"), *[c for c in self.features.columns if c not in ("z", "x", "y")])
-            rows = hit if rows is None else rows.unionByName(hit)
-        return self.grouped(rows)
+        # the tile numbers of a feature at each requested zoom, one more to the west and north, as edges count for both neighbours
+        zooms = F.explode(F.array(*[F.struct(F.lit(z).alias("z"), *[F.lit(v).cast("bigint").alias(k) for k, v in zip("abcd", self._hull(places, z))]) for z in widths]))
+        mine = self.features.drop("z", "x", "y").withColumn("_l", zooms).where(F.col("zoom_level") <= F.col("_l.z"))
+        size = F.pow(F.lit(2.0), F.col("_l.z"))
+        x0, x1 = ((F.col(c) + 180) / 360 * size for c in ("min_lng", "max_lng"))
+        y0, y1 = ((F.lit(180.0) - lat_to_y(F.greatest(F.least(F.col(c), F.lit(89.9)), F.lit(-89.9)))) / 360 * size for c in ("max_lat", "min_lat"))
+        numbers = lambda a, b, lo, hi: F.filter(F.sequence(F.greatest(F.floor(a) - 1, lo), F.greatest(F.least(F.floor(b) + 1, hi), F.greatest(F.floor(a) - 1, lo))), lambda i: i <= hi)
+        placed = mine.withColumn("x", F.explode(numbers(x0, x1, F.col("_l.a"), F.col("_l.b")))).withColumn("y", F.explode(numbers(y0, y1, F.col("_l.c"), F.col("_l.d"))))
+        meets = (F.col("min_lng") <= F.col("_e")) & (F.col("max_lng") >= F.col("_w")) & (F.col("min_lat") <= F.col("_n")) & (F.col("max_lat") >= F.col("_s"))
+        hit = placed.withColumn("z", F.col("_l.z")).drop("_l").join(boxes, self.key).where(meets)
+        return self.grouped(hit.drop("_w", "_e", "_n", "_s"))
+
+    @staticmethod
+    def _hull(places: DataFrame, z: int) -> tuple[int, int, int, int]:
+        here = [r for r in places.collect() if r["z"] == z]
+        return min(r["x"] for r in here), max(r["x"] for r in here), min(r["y"] for r in here), max(r["y"] for r in here)
 
     def empty(self, t: TileId):
         return []
@@ -203,16 +213,14 @@ class LogoTileset(DenseTileset):
         self.weights, self.alphabet = position_weights(sequences, seq, alphabet), alphabet
 
     def fetch(self, places, widths, modifier, settings):
-        size, out = self._info.tile_size, {}
+        size, parts = self._info.tile_size, []
         row = F.instr(F.lit(self.alphabet), F.col("base")) - 1
         for z, width in widths.items():
             k = width // size
             bins = self.weights.groupBy("base", F.floor(F.col("pos") / k).alias("_b")).agg(F.avg("weight").alias("w"))
             rows = bins.withColumn("x", F.floor(F.col("_b") / size)).join(places.where(F.col("z") == z), "x")
-            cells = rows.select("z", "x", (row * size + F.col("_b") - F.col("x") * size).cast("int").alias("_at"), F.col("w").alias("_v"))
-            start = {(z, r["x"]): np.full(len(self.alphabet) * size, np.nan) for r in places.where(F.col("z") == z).collect()}
-            out |= self.filled(cells, (len(self.alphabet), size), start)
-        return out
+            parts.append(rows.select("z", "x", (row * size + F.col("_b") - F.col("x") * size).cast("int").alias("_at"), F.col("w").cast("double").alias("_v")))
+        return self.filled(parts, (len(self.alphabet), size), np.nan, {(r["z"], r["x"]): (len(self.alphabet), size) for r in places.collect()})
 
     def empty(self, t: TileId):
         return dense_payload(np.full(len(self.alphabet) * self._info.tile_size, np.nan))

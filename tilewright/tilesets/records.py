@@ -54,7 +54,7 @@ class AnnotationTileset(Tileset):
     def fetch(self, places, widths, modifier, settings):
         if self.policy.max_scan_bytes is not None:
             self.policy.check_scan(scan_bytes(self.records))
-        hit = overlap.join_tiles(self.records, places, widths)
+        hit = overlap.join_tiles(self.records, places, widths, runs=self.runs(places))
         best = cap_per_group(hit, self.key, self.policy.max_records, F.col("importance").desc(), F.col("uid").desc())
         return self.grouped(_wire(best), "xStart")
 
@@ -97,7 +97,7 @@ class PairTileset(AnnotationTileset):
         return cls(spark, _identified(p), TilesetInfo.quadtree(chromsizes, tile_size, ndim=cls.ndim), policy, **more)
 
     def fetch(self, places, widths, modifier, settings):
-        hit = overlap.join_tiles_2d(self.records, places, widths, ("x_start", "x_end"), ("y_start", "y_end"))
+        hit = overlap.join_tiles_2d(self.records, places, widths, ("x_start", "x_end"), ("y_start", "y_end"), (self.runs(places), self.runs(places, "y")))
         best = cap_per_group(hit, self.key, self.policy.max_records, F.col("importance").desc(), F.col("uid").desc())
         return self.grouped(_wire(best), "xStart")
 
@@ -119,8 +119,14 @@ class LinkTileset(PairTileset):
             spans = F.when(F.col("x_offset") == F.col("y_offset"), one).otherwise(both) if "x_offset" in r.columns else one
         else:
             spans = F.array(F.struct(F.col("x_start").alias("a"), F.col("x_end").alias("b")), F.struct(F.col("y_start").alias("a"), F.col("y_end").alias("b")))
+        runs = self.runs(places)
+        hull = overlap.near(runs, widths, "x_start", "x_end") | overlap.near(runs, widths, "y_start", "y_end")
+        if self.links is LinkPolicy.HULL:
+            r = r.withColumns({"_a": F.least("x_start", "y_start"), "_b": F.greatest("x_end", "y_end")})
+            r, hull = r.where(overlap.near(runs, widths, "_a", "_b")).drop("_a", "_b"), F.lit(True)
+        r = r.where(hull)
         parts = r.select("*", F.posexplode(spans).alias("_side", "_s")).select("*", F.col("_s.a").alias("_a"), F.col("_s.b").alias("_b"))
-        hit = overlap.join_tiles(parts, places, widths, "_a", "_b")
+        hit = overlap.join_tiles(parts, places, widths, "_a", "_b", runs)
         shown = hit.groupBy(*self.key, *r.columns).agg(F.count_distinct("_side").alias("_sides"))
         if self.links is LinkPolicy.BOTH:
             shown = shown.where("_sides = 2")
@@ -134,19 +140,19 @@ class StoredTileset(AnnotationTileset):
     def fetch(self, places, widths, modifier, settings):
         deepest = max(widths)
         rows = self.records.where(F.col("zoom_level") <= deepest)
-        hit = overlap.join_tiles(rows, places, widths).where(F.col("zoom_level") <= F.col("z"))
+        hit = overlap.join_tiles(rows, places, widths, runs=self.runs(places)).where(F.col("zoom_level") <= F.col("z"))
         return self.grouped(_wire(hit), "xStart")
 
 
 class StoredPairTileset(PairTileset):
     def fetch(self, places, widths, modifier, settings):
         rows = self.records.where(F.col("zoom_level") <= max(widths))
-        hit = overlap.join_tiles_2d(rows, places, widths, ("x_start", "x_end"), ("y_start", "y_end")).where(F.col("zoom_level") <= F.col("z"))
+        hit = overlap.join_tiles_2d(rows, places, widths, ("x_start", "x_end"), ("y_start", "y_end"), (self.runs(places), self.runs(places, "y"))).where(F.col("zoom_level") <= F.col("z"))
         return self.grouped(_wire(hit), "xStart")
 
 
 class ReadsTileset(Tileset):
-    """Primary alignments of a tile as parallel arrays, on absolute coordinates."""
+    """All primary alignments of a tile as parallel arrays, on absolute coordinates. A tile is refused by its width (``max_span``), never cut."""
 
     def __init__(self, spark: SparkSession, alignments: DataFrame, chromsizes: Chromsizes, policy: TilePolicy | None = None, tile_size: int = 1024):
         super().__init__(spark, TilesetInfo.quadtree(chromsizes, tile_size), policy)
@@ -158,7 +164,7 @@ class ReadsTileset(Tileset):
         return cls(spark, text.read_sam(spark, path), chromsizes, policy)
 
     def fetch(self, places, widths, modifier, settings):
-        hit = cap_per_group(overlap.join_tiles(self.records, places, widths), self.key, self.policy.max_records, F.col("x_start"), F.col("qname"), F.col("flag"))
+        hit = overlap.join_tiles(self.records, places, widths, runs=self.runs(places))
         flag = F.col("flag")
         bit = lambda n: flag.bitwiseAND(n)
         subs = R.cigar_substitutions(F.col("start"), F.col("end") - F.col("pos"), R.cigar_ops(F.col("cigar")))
