@@ -62,6 +62,11 @@ def test_pileup(spark):
     tile, other = (p for _, p in more.PileupTileset(spark, seqs, "ACGTACGT").tiles(["u.0.0", "u.1.0"]))
     assert [r["id"] for r in tile] == ["a", "b", "c"] and tile[0]["substitutions"] == [{"pos": 3, "type": "X", "length": 1, "base": "G", "variant": "T"}] and tile[1]["substitutions"] == []
     assert tile[2]["substitutions"][0]["type"] == "I" and other["error_type"] == "TileOutOfBounds"
+    more_seqs = seqs.unionByName(spark.range(9000).selectExpr("concat('n', id) as id", "'ACGTACGA' as seq")).withColumn("extra", F.lit("v"))
+    ((_, tile),) = more.PileupTileset(spark, more_seqs, [("r1", "ACGTACGT"), ("r2", "ACGTACGA")]).tiles(["u.0.0"])
+    assert len(tile) == 2 * 9003 and {(r["id"], r["from"], r["to"]) for r in tile} >= {("n1_r1", 1, 8), ("n1_r2", 9, 16)} and tile[0]["extra"] == "v"
+    at = {r["id"]: [s["pos"] for s in r["substitutions"]] for r in tile}
+    assert at["n1_r1"] == [8] and at["n1_r2"] == [] and at["b_r2"] == [16]
 
 
 def test_depths_and_promotion_stores(spark, put, tmp_path):

@@ -144,10 +144,53 @@ def test_cigar_and_md(spark):
     assert reads.rebuild_reference("ACGTACGT", "3A4", "8M") == ("ACGAACGT", "ACGTACGT")
     assert reads.rebuild_reference("ACGTTACG", "4^GG4", "4M2D4M") == ("ACGTGGTACG", "ACGT--TACG")
     assert reads.mismatches(*reads.rebuild_reference("TTACGGGTAC", "2T3", "2S3M2I3M")) == [(2, 2, "G", "T")]
-    assert reads.extended_cigar_substitutions("2=1X2=", "TTTTT", "TTATT") == [{"pos": 2, "type": "X", "length": 1, "base": "T", "variant": "A"}]
-    assert [s["pos"] for s in reads.extended_cigar_substitutions("3=3X", "ACGTT", "ACGAAA")] == [3, 4]
-    cs = reads.difference_string_substitutions(":10*at:5+cc-gg", 2, 1, "NNAAAT")
-    assert [(s["pos"], s["type"], s["length"]) for s in cs] == [(-2, "S", 2), (10, "X", 1), (16, "I", 2), (16, "D", 2), (18, "S", 1)]
+
+
+def test_substitutions_of_cigars_and_difference_strings(spark):
+    rows = [("2=1X2=", "TTTTT", "TTATT"), ("3=3X", "ACGTT", "ACGAAA"), ("2=2I1X3D1=", "ACGTTTT", "ACGGCT"), (None, "A", "A"), ("", "A", "A"), ("4M", "AAAA", "TTTT")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, cigar string, ref string, query string")
+    got = {r["i"]: [tuple(s) for s in r["s"]] for r in df.select("i", reads.extended_cigar_substitutions(F.col("cigar"), F.col("ref"), F.col("query")).alias("s")).collect()}
+    assert got[0] == [(2, 1, "X", "T", "A")] and [s[0] for s in got[1]] == [3, 4] and got[3] == got[4] == got[5] == []
+    assert got[2] == [(2, 2, "I", None, None), (2, 1, "X", "G", "C"), (3, 3, "D", None, None)]
+    cs = [(":10*at:5+cc-gg", 2, 1, "NNAAAT"), (None, None, 0, None), ("*ga*ga", None, None, "AA"), ("", 3, 0, "ACGT")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(cs)], "i int, cs string, lead int, tail int, seq string")
+    got = {r["i"]: [tuple(s) for s in r["s"]] for r in df.select("i", reads.difference_string_substitutions(F.col("cs"), F.col("lead"), F.col("tail"), F.col("seq")).alias("s")).collect()}
+    assert got[0] == [(-2, 2, "S", None, "NN"), (10, 1, "X", "A", "T"), (16, 2, "I", "", "CC"), (16, 2, "D", "GG", ""), (18, 1, "S", None, "T")]
+    assert got[1] == [] and [s[0] for s in got[2]] == [0, 1] and got[3] == [(-3, 3, "S", None, "ACG")]
+
+
+def plain_alignment(a, b, match=1, mismatch=-4, gap_open=-6, gap_extend=-1):
+    """Cell by cell: the best score and any one of its alignments' score by its own columns."""
+    none, n, m = float("-inf"), len(a), len(b)
+    h = [[[none] * (m + 1) for _ in range(n + 1)] for _ in range(3)]
+    h[0][0][0] = 0
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if i and j:
+                h[0][i][j] = max(t[i - 1][j - 1] for t in h) + (match if a[i - 1] == b[j - 1] else mismatch)
+            if i:
+                h[1][i][j] = max(t[i - 1][j] + (gap_extend if k == 1 else gap_open) for k, t in enumerate(h))
+            if j:
+                h[2][i][j] = max(t[i][j - 1] + (gap_extend if k == 2 else gap_open) for k, t in enumerate(h))
+    return max(t[n][m] for t in h)
+
+
+def scored(a, b, match=1, mismatch=-4, gap_open=-6, gap_extend=-1):
+    total, before = 0, None
+    for x, y in zip(a, b):
+        now = "b" if y == "-" else "a" if x == "-" else None
+        total += (match if x == y else mismatch) if now is None else gap_extend if now == before else gap_open
+        before = now
+    return total
+
+
+def test_alignments_of_a_batch():
+    rnd = random.Random(5)
+    a, b = (["".join(rnd.choice("ACGN") for _ in range(rnd.choice((0, 1, 2, 9, 24)))) for _ in range(150)] for _ in range(2))
+    a[:20] = ["".join(c for c in t if rnd.random() > 0.1) + "AC" for t in b[:20]]
+    for cells in (100, 8_000_000):
+        for (score, x, y), s, t in zip(reads.global_alignments(a, b, cells=cells), a, b):
+            assert score == plain_alignment(s, t) == scored(x, y) and (x.replace("-", ""), y.replace("-", "")) == (s, t)
 
 
 def test_alignment():

@@ -118,65 +118,124 @@ def md_variants(seq: pd.Series, md: pd.Series, cigar: pd.Series) -> pd.Series:
     )
 
 
-def extended_cigar_substitutions(cigar: str, ref: str, query: str) -> list[dict]:
-    """Substitutions of an alignment given with ``=``, X, I and D: one X a base and only where both sequences have one."""
-    out, i, j = [], 0, 0
-    for length, op in re.findall(r"([0-9]+)([=XID])", cigar):
-        n = int(length)
-        if op == "X":
-            out += [{"pos": i + k, "type": "X", "length": 1, "base": ref[i + k], "variant": query[j + k]} for k in range(n) if i + k < len(ref) and j + k < len(query)]
-        elif op in "ID":
-            out.append({"pos": i, "type": op, "length": n})
-        i += n * (op != "I")
-        j += n * (op != "D")
-    return out
+_SUBS = "array<struct<pos:int,length:int,type:string,base:string,variant:string>>"
 
 
-def difference_string_substitutions(cs: str, lead_clip: int = 0, tail_clip: int = 0, seq: str = "") -> list[dict]:
-    """Substitutions of a ``:n*ab+ins-del`` difference string, with soft clips of the read at both ends."""
-    out, at = [], 0
-    if lead_clip:
-        out.append({"pos": -lead_clip, "length": lead_clip, "type": "S", "base": None, "variant": seq[:lead_clip]})
-    for same, a, b, ins, gone in re.findall(r":([0-9]+)|\*([a-z])([a-z])|\+([a-z]+)|-([a-z]+)", cs):
-        if a:
-            out.append({"pos": at, "length": 1, "type": "X", "base": a.upper(), "variant": b.upper()})
-        elif ins:
-            out.append({"pos": at, "length": len(ins), "type": "I", "base": "", "variant": ins.upper()})
-        elif gone:
-            out.append({"pos": at, "length": len(gone), "type": "D", "base": gone.upper(), "variant": ""})
-        at += int(same or 0) + len(a) + len(gone)
-    if tail_clip:
-        out.append({"pos": at, "length": tail_clip, "type": "S", "base": None, "variant": seq[-tail_clip:]})
-    return out
+def _sub(pos: Column, length: Column | int, kind: str, base: Column | None = None, variant: Column | None = None) -> Column:
+    text = lambda c: F.lit(None).cast("string") if c is None else c
+    length = F.lit(length) if isinstance(length, int) else length
+    return F.struct(pos.cast("int").alias("pos"), length.cast("int").alias("length"), F.lit(kind).alias("type"), text(base).alias("base"), text(variant).alias("variant"))
+
+
+def extended_cigar_substitutions(cigar: Column, ref: Column, query: Column) -> Column:
+    """Array of substitutions of an alignment given with ``=``, X, I and D, positions from 0 on the reference.
+
+    An X is one substitution a base, and only where both sequences have a base; other letters of the text are no operations.
+    Null or empty texts give an empty array.
+    """
+    text = F.coalesce(cigar, F.lit(""))
+    part = r"([0-9]+)([=XID])"
+    ops = F.arrays_zip(F.regexp_extract_all(text, F.lit(part), F.lit(2)).alias("op"), F.regexp_extract_all(text, F.lit(part), F.lit(1)).alias("n"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.array().cast(_SUBS).alias("out"))
+
+    def step(acc, o):
+        n, op = o["n"].cast("int"), o["op"]
+        known = F.least(n, F.length(ref) - acc["i"], F.length(query) - acc["j"])
+        letter = lambda s, at: F.substr(s, at + 1, F.lit(1))
+        each = F.transform(F.when(known > 0, F.sequence(F.lit(0), known - 1)).otherwise(F.array().cast("array<int>")), lambda k: _sub(acc["i"] + k, 1, "X", letter(ref, acc["i"] + k), letter(query, acc["j"] + k)))
+        new = F.when(op == "X", each).when(op == "I", F.array(_sub(acc["i"], n, "I"))).when(op == "D", F.array(_sub(acc["i"], n, "D"))).otherwise(F.array().cast(_SUBS))
+        return F.struct((acc["i"] + F.when(op != "I", n).otherwise(0)).alias("i"), (acc["j"] + F.when(op != "D", n).otherwise(0)).alias("j"), F.concat(acc["out"], new).alias("out"))
+
+    return F.aggregate(ops, start, step, lambda acc: acc["out"])
+
+
+def difference_string_substitutions(cs: Column, lead_clip: Column, tail_clip: Column, seq: Column) -> Column:
+    """Array of substitutions of a ``:n*ab+ins-del`` difference string, positions from 0 on the reference.
+
+    Soft clips of the read (0 or null for none) stand before its first and behind its last base. A null text has only the clips.
+    """
+    tokens = F.regexp_extract_all(F.coalesce(cs, F.lit("")), F.lit(r"(:[0-9]+|\*[a-z][a-z]|\+[a-z]+|-[a-z]+)"), F.lit(1))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SUBS).alias("out"))
+
+    def step(acc, t):
+        kind, rest = F.substr(t, F.lit(1), F.lit(1)), F.upper(F.substr(t, F.lit(2)))
+        n, none = F.length(rest), F.lit("")
+        moved = F.when(kind == ":", rest.try_cast("int")).when(kind == "*", 1).when(kind == "-", n).otherwise(0)
+        new = F.when(kind == "*", F.array(_sub(acc["at"], 1, "X", F.substr(rest, F.lit(1), F.lit(1)), F.substr(rest, F.lit(2), F.lit(1)))))
+        new = new.when(kind == "+", F.array(_sub(acc["at"], n, "I", none, rest))).when(kind == "-", F.array(_sub(acc["at"], n, "D", rest, none)))
+        return F.struct((acc["at"] + moved).alias("at"), F.concat(acc["out"], new.otherwise(F.array().cast(_SUBS))).alias("out"))
+
+    walked = F.aggregate(tokens, start, step)
+    clip = lambda n, pos, part: F.when(n > 0, F.array(_sub(pos, n, "S", None, part))).otherwise(F.array().cast(_SUBS))
+    return F.concat(clip(lead_clip, -lead_clip, F.substr(seq, F.lit(1), lead_clip)), walked["out"], clip(tail_clip, walked["at"], F.right(seq, tail_clip)))
 
 
 def global_alignment(a: str, b: str, match: float = 1, mismatch: float = -4, gap_open: float = -6, gap_extend: float = -1) -> tuple[float, str, str]:
     """(score, aligned a, aligned b) with affine gaps: a gap of n costs open + (n - 1) * extend."""
-    n, m = len(a), len(b)
-    none = -np.inf
-    h = np.full((3, n + 1, m + 1), none)  # 0 both, 1 gap in b, 2 gap in a
-    back = np.zeros((3, n + 1, m + 1), np.int8)
-    h[0, 0, 0] = 0
-    for i in range(1, n + 1):
-        h[1, i, 0], back[1, i, 0] = gap_open + (i - 1) * gap_extend, 1 if i > 1 else 0
-    for j in range(1, m + 1):
-        h[2, 0, j], back[2, 0, j] = gap_open + (j - 1) * gap_extend, 2 if j > 1 else 0
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            k = int(np.argmax(h[:, i - 1, j - 1]))
-            h[0, i, j], back[0, i, j] = h[k, i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch), k
-            for layer, (x, y) in ((1, (i - 1, j)), (2, (i, j - 1))):
-                costs = h[:, x, y] + np.where(np.arange(3) == layer, gap_extend, gap_open)
-                k = int(np.argmax(costs))
-                h[layer, i, j], back[layer, i, j] = costs[k], k
-    layer = int(np.argmax(h[:, n, m]))
-    score, i, j, left, right = float(h[layer, n, m]), n, m, [], []
-    while i or j:
-        k = int(back[layer, i, j])
-        left.append(a[i - 1] if layer != 2 else "-")
-        right.append(b[j - 1] if layer != 1 else "-")
-        i, j, layer = i - (layer != 2), j - (layer != 1), k
-    return score, "".join(reversed(left)), "".join(reversed(right))
+    return global_alignments([a], [b], match, mismatch, gap_open, gap_extend)[0]
+
+
+def global_alignments(a: list[str], b: list[str], match: float = 1, mismatch: float = -4, gap_open: float = -6, gap_extend: float = -1, cells: int = 2_000_000) -> list[tuple[float, str, str]]:
+    """``global_alignment`` of many pairs, whose tables are filled side by side along the anti-diagonals; ``cells`` bounds the tables held at once.
+
+    Each cell keeps from which of the layers (both, gap in b, gap in a) its three scores came, the first of equals.
+    """
+    out: list = [None] * len(a)
+    order = sorted(range(len(a)), key=lambda i: (len(a[i]) + 1) * (len(b[i]) + 1))
+    while order:
+        n, m = max(len(a[i]) for i in order), max(len(b[i]) for i in order)
+        take = max(1, cells // ((n + 1) * (m + 1)))
+        part, order = order[-take:], order[:-take]
+        for i, found in zip(part, _aligned([a[i] for i in part], [b[i] for i in part], match, mismatch, gap_open, gap_extend)):
+            out[i] = found
+    return out
+
+
+def _first_best(s0: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest of three scores, and which it is, the first of equals."""
+    k = (s1 > s0).view(np.int8)
+    top = np.maximum(s0, s1)
+    k[s2 > top] = 2
+    return np.maximum(top, s2), k
+
+
+def _aligned(a: list[str], b: list[str], match: float, mismatch: float, gap_open: float, gap_extend: float) -> list[tuple[float, str, str]]:
+    x, y = _padded(a), _padded(b)
+    (n, count), m = x.shape, y.shape[0]
+    none = np.full((n + 1, count), -np.inf, np.float32)  # whole scores stay exact below 2^24
+    back = np.zeros((n + m + 1, 3, n + 1, count), np.int8)
+    ends = np.full((3, count), -np.inf)
+    sizes = np.array([len(t) for t in a]), np.array([len(t) for t in b])
+    before = last = [none] * 3
+    for d in range(n + m + 1):  # cells (i, d - i), by their i
+        now = [none.copy() for _ in range(3)]
+        lo, hi = max(0, d - m), min(n, d)
+        if d == 0:
+            now[0][0] = 0
+        inner = slice(max(1, lo), min(n, d - 1) + 1)
+        if inner.start < inner.stop:
+            prev = slice(inner.start - 1, inner.stop - 1)
+            same = x[prev] == y[d - 2 - np.arange(prev.start, prev.stop)]
+            top, back[d, 0, inner] = _first_best(*(layer[prev] for layer in before))
+            now[0][inner] = top + np.where(same, np.float32(match), np.float32(mismatch))
+        for layer, own, prev in ((1, slice(max(1, lo), hi + 1), slice(max(1, lo) - 1, hi)), (2, slice(lo, min(hi, d - 1) + 1), slice(lo, min(hi, d - 1) + 1))):
+            if d and own.start < own.stop:
+                now[layer][own], back[d, layer, own] = _first_best(*(last[j][prev] + np.float32(gap_extend if j == layer else gap_open) for j in range(3)))
+        done = np.flatnonzero(sizes[0] + sizes[1] == d)
+        for layer in range(3):
+            ends[layer, done] = now[layer][sizes[0][done], done]
+        before, last = last, now
+    out = []
+    for p, (s, t) in enumerate(zip(a, b)):
+        layer = int(ends[:, p].argmax())
+        score, i, j, left, right = float(ends[layer, p]), len(s), len(t), [], []
+        while i or j:
+            k = int(back[i + j, layer, i, p])
+            left.append(s[i - 1] if layer != 2 else "-")
+            right.append(t[j - 1] if layer != 1 else "-")
+            i, j, layer = i - (layer != 2), j - (layer != 1), k
+        out.append((score, "".join(reversed(left)), "".join(reversed(right))))
+    return out
 
 
 def aligned_substitutions(ref: str, query: str) -> list[dict]:

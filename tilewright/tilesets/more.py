@@ -6,8 +6,10 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.functions import reads as R
 from tilewright.functions.columns import lat_to_y, y_to_lat
@@ -227,39 +229,54 @@ class LogoTileset(DenseTileset):
 
 
 class PileupTileset(Tileset):
-    """Sequences (id, seq) aligned to one reference: the whole pileup is the tile at zoom 0; other places are out of bounds."""
+    """Sequences (id, seq, more columns) aligned to references laid end to end: the whole pileup is the tile at zoom 0; other places are out of bounds.
 
-    def __init__(self, spark: SparkSession, sequences: DataFrame, reference: str, policy: TilePolicy | None = None):
-        width = 1 << max(0, (len(reference) - 1).bit_length())
+    ``references``: one sequence, or (id, sequence) pairs, to each of which every sequence is aligned; records are then called by both ids.
+    Positions are 1-based on the references, and a further column ``extra`` is passed on. No record is left out.
+    """
+
+    def __init__(self, spark: SparkSession, sequences: DataFrame, references: str | list[tuple[str, str]], policy: TilePolicy | None = None):
+        self.named = not isinstance(references, str)
+        self.references = list(references) if self.named else [("", references)]
+        total = sum(len(r) for _, r in self.references)
+        width = 1 << max(0, (total - 1).bit_length())
         super().__init__(spark, TilesetInfo(tile_size=width, max_zoom=0, max_width=width), policy)
-        self.sequences, self.reference = sequences, reference
+        self.sequences = sequences
 
     def _screen(self, t: TileId) -> None:
         if t.z or t.pos[0]:
             raise TileOutOfBounds("a pileup has one tile")
 
-    def fetch(self, places, widths, modifier, settings):
-        reference = self.reference
-
-        def run(batches):
-            import json
-
-            import pandas as pd
+    def records(self) -> DataFrame:
+        """(id, from, to, substitutions, extra) of every sequence and reference; ``substitutions`` as JSON."""
+        offset, rows = 0, []
+        for k, (name, seq) in enumerate(self.references):
+            rows.append((k, name, seq, offset))
+            offset += len(seq)
+        refs = self.spark.createDataFrame(rows, "_k int, _name string, _ref string, _at int")
+        extra = F.col("extra").cast("string") if "extra" in self.sequences.columns else F.lit(None).cast("string")
+        mine = self.sequences.select(F.col("id").cast("string").alias("id"), F.coalesce("seq", F.lit("")).alias("seq"), extra.alias("extra"))
+        pairs = mine.withColumn("_k", F.explode(F.lit([k for k, *_ in rows]))).join(refs, "_k")  # as many rows a sequence as there are references
+        named = F.concat_ws("_", "id", "_name") if self.named else F.col("id")
+        return pairs.select(
+            named.alias("id"), (F.col("_at") + 1).alias("from"), (F.col("_at") + F.length("_ref")).alias("to"), _substitutions("_ref", "seq", "_at").alias("substitutions"), "extra"
+        )
 
-            for b in batches:
-                found = []
-                for i, s in zip(b["id"], b["seq"]):
-                    _, ref, query = R.global_alignment(reference, s or "")
-                    found.append((i, 1, len(reference), json.dumps(R.aligned_substitutions(ref, query))))
-                yield pd.DataFrame(found, columns=["id", "from", "to", "substitutions"])
-
-        rows = self.sequences.select(F.col("id").cast("string").alias("id"), "seq").mapInPandas(run, "id string, `from` int, `to` int, substitutions string")
-        cap = self.policy.max_records
-        rows = rows.orderBy("id")
+    def fetch(self, places, widths, modifier, settings):
         import json
 
-        found = [r.asDict() for r in (rows if cap is None else rows.limit(cap)).toLocalIterator()]
-        return {(0, 0): [{**r, "substitutions": json.loads(r["substitutions"])} for r in found]}
+        found = [r.asDict() for r in self.records().orderBy("id").toLocalIterator()]
+        return {(0, 0): [{k: json.loads(v) if k == "substitutions" else v for k, v in r.items() if v is not None} for r in found]}
 
     def empty(self, t: TileId):
         return []
+
+
+@F.pandas_udf(T.StringType())
+def _substitutions(refs: pd.Series, seqs: pd.Series, at: pd.Series) -> pd.Series:
+    import json
+
+    out = []
+    for (_, ref, query), offset in zip(R.global_alignments(refs.tolist(), seqs.tolist()), at):
+        out.append(json.dumps([{**s, "pos": s["pos"] + int(offset)} for s in R.aligned_substitutions(ref, query)]))
+    return pd.Series(out)
