@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tilewright.plans import genome, problems, signals
+from tilewright.plans import files, genome, problems, signals
 
-MODULES = [problems, genome, signals]
+MODULES = [problems, genome, signals, files]
 
 
 def queries() -> dict:
