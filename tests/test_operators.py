@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -43,8 +44,21 @@ def test_greedy_placement(spark, seed, cap, stride):
             met = list(range(a // w, (b - 1) // w + 1))
             tiles[i].append(met[: -(-(b - a) // w)] if stride else met)
     df = spark.createDataFrame(data + [(900, None, 1, 2), (901, float("nan"), 1, 2)], "id long, imp double, a long, b long")
-    got = placement.place(df, "id", "imp", placement.interval_tiles(F.col("a"), F.col("b"), zooms, width, stride), cap)
-    assert dict(map(tuple, got.collect())) == greedy([(imp, i) for i, imp, _, _ in data], tiles, cap)
+    want = greedy([(imp, i) for i, imp, _, _ in data], tiles, cap)
+    for at_once in {1: (500_000,), 2: (40, 500_000), 3: (0,)}[seed]:  # one by one, after some rounds too, by rounds only
+        got = placement.place(df, "id", "imp", placement.interval_tiles(F.col("a"), F.col("b"), zooms, width, stride), cap, at_once)
+        assert dict(map(tuple, got.collect())) == want
+
+
+def test_placement_of_a_chain(spark):
+    """10,000 records of falling importance, each of which meets the tile of the one before: as many rounds as for two."""
+    n = 10_000
+    data = [(i, float(n - i), 10 * i + 5, 10 * i + 15) for i in range(n)]
+    df = spark.createDataFrame(data, "id long, imp double, a long, b long")
+    tiles = F.sequence(F.floor(F.col("a") / 10), F.floor(F.col("b") / 10))
+    began = time.time()
+    got = {r["id"] for r in placement.place(df, "id", "imp", [tiles], 1).collect()}
+    assert got == set(range(0, n, 2)) and time.time() - began < 120
 
 
 def test_promotion(spark):

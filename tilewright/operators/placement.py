@@ -1,14 +1,16 @@
 """Placing records in zoom levels by importance: a tile shows at most so many, the most important ones first.
 
 A record's fate at a zoom level depends only on more important ones still there, so levels are worked off one after the
-other on the survivors. Within a level, no window ever sorts a whole tile: the order of the capacity-th record, found
-with a rank limit that is applied before the shuffle, decides all others.
+other on the survivors, and the tiles of a level are made for them only. Within a level, no window ever sorts a whole tile: the order
+of the capacity-th record, found with a rank limit that is applied before the shuffle, decides all others. What rounds of this leave
+undecided are chains of records that wait for each other; as soon as they are few enough for a task, they are visited one by one.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,29 +31,60 @@ def _after(suffix: str) -> Column:
     return F.coalesce((F.col("_imp") < imp) | ((F.col("_imp") == imp) & (F.col("_ord") > at)), F.lit(False))
 
 
-def greedy_level(pairs: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+#: so many (record, tile) pairs are worth a task
+AT_ONCE = 500_000
+
+
+def _one_by_one(cap: int):
+    def run(pairs: pd.DataFrame) -> pd.DataFrame:
+        held: dict[str, int] = {}
+        out = []
+        pairs = pairs.sort_values(["_imp", "_ord", "_id"], ascending=[False, True, True], kind="stable")
+        for i, fixed, tiles in zip(pairs["_id"], pairs["_fixed"], pairs["_tiles"]):
+            room = fixed or all(held.get(t, 0) < cap for t in tiles)
+            if room:
+                for t in tiles:
+                    held[t] = held.get(t, 0) + 1
+            if not fixed:
+                out.append((i, room))
+        return pd.DataFrame(out, columns=["_id", "_placed"])
+
+    return run
+
+
+def greedy_level(pairs: DataFrame, cap: int, at_once: int = AT_ONCE) -> tuple[DataFrame, DataFrame]:
     """(placed, left) record ids (``_id``) of a level, from (record, tile) ``pairs`` with columns _id, _tile, _imp, _ord.
 
     Equal to visiting records by importance (ties by ``_ord``) and placing each whose tiles all have room. In a round a
     record is placed if in each of its tiles fewer than ``cap`` placed or undecided ones come before it, and refused
-    if in one of them ``cap`` placed ones do; records of one tile are decided in the first round.
+    if in one of them ``cap`` placed ones do; records of one tile are decided in the first round. Once the undecided pairs and the
+    placed ones in their tiles are ``at_once`` or fewer, one task visits them in order, so the rounds do not grow with chains of that length.
     """
-    undecided = Cut(pairs, "undecided").df
+    undecided = Cut(pairs, "undecided")
     placed: list[DataFrame] = []
     left: list[DataFrame] = []
-    while undecided.limit(1).count():
+    while n := undecided.count():
+        now = undecided.df
         accepted = reduce(DataFrame.unionByName, placed) if placed else None
-        known = undecided.unionByName(accepted) if placed else undecided
+        if n <= at_once:
+            around = accepted.join(now.select("_tile").distinct(), "_tile", "left_semi") if placed else now.limit(0)
+            around = Cut(around, "around")
+            if n + around.count() <= at_once:
+                rest = now.withColumn("_fixed", F.lit(False)).unionByName(around.df.withColumn("_fixed", F.lit(True)))
+                listed = rest.groupBy("_id", "_imp", "_ord", "_fixed").agg(F.collect_list("_tile").alias("_tiles"))
+                fates = Cut(listed.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(_one_by_one(cap), "_id bigint, _placed boolean"), "fates").df
+                placed.append(fates.where("_placed").select("_id"))
+                left.append(fates.where("not _placed").select("_id"))
+                break
+        known = now.unionByName(accepted) if placed else now
         first = _nth(known, cap, "_a")
-        state = undecided.join(first, "_tile", "left")
+        state = now.join(first, "_tile", "left")
         state = state.join(_nth(accepted, cap, "_b"), "_tile", "left") if placed else state.withColumns({"_imp_b": F.lit(None).cast("double"), "_ord_b": F.lit(None).cast("bigint")})
         verdict = state.groupBy("_id").agg(F.max(_after("_a")).alias("_wait"), F.max(_after("_b")).alias("_no"))
         decided = Cut(verdict, "verdict").df
-        now = undecided.join(decided.where("not _wait").select("_id"), "_id", "left_semi")
-        placed.append(Cut(now, "placed").df)
-        refused = decided.where("_wait and _no").select("_id")
-        left.append(refused)
-        undecided = Cut(undecided.join(decided.where("_wait and not _no").select("_id"), "_id", "left_semi"), "undecided").df
+        placed.append(Cut(now.join(decided.where("not _wait").select("_id"), "_id", "left_semi"), "placed").df)
+        left.append(decided.where("_wait and _no").select("_id"))
+        undecided = Cut(now.join(decided.where("_wait and not _no").select("_id"), "_id", "left_semi"), "undecided")
     none = pairs.select("_id").limit(0)
     return (
         reduce(DataFrame.unionByName, [p.select("_id") for p in placed]).distinct() if placed else none,
@@ -59,23 +92,23 @@ def greedy_level(pairs: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def place(df: DataFrame, record: str, importance: str, tiles: list[Column], cap: int) -> DataFrame:
+def place(df: DataFrame, record: str, importance: str, tiles: list[Column], cap: int, at_once: int = AT_ONCE) -> DataFrame:
     """(record, zoom_level) by greedy placement; ``tiles``: for each zoom, from coarse to fine, the array of tile keys a record meets.
 
     Records that no level takes are left out; so are records with a null or NaN importance or without any tile. Ties go to the smaller
-    ``record``, which must be a unique bigint.
+    ``record``, which must be a unique bigint. Tile keys are made level by level, for the records that are left.
     """
-    rest = df.where(F.col(importance).isNotNull() & ~F.isnan(F.col(importance).cast("double")))
-    keys = [f"_t{z}" for z in range(len(tiles))]
-    rest = Cut(rest.select(F.col(record).cast("bigint").alias("_id"), F.col(importance).cast("double").alias("_imp"), *[t.cast("array<string>").alias(k) for t, k in zip(tiles, keys)]), "records").df
-    out = []
-    for z, k in enumerate(keys):
-        pairs = rest.select("_id", F.explode(k).alias("_tile"), "_imp", F.col("_id").alias("_ord"))
-        placed, left = greedy_level(pairs, cap)
+    base = df.where(F.col(importance).isNotNull() & ~F.isnan(F.col(importance).cast("double")))
+    base = Cut(base.withColumns({"_id": F.col(record).cast("bigint"), "_imp": F.col(importance).cast("double")}), "records").df
+    rest, out = base, []
+    for z, keys in enumerate(tiles):
+        pairs = rest.select("_id", "_imp", F.col("_id").alias("_ord"), F.explode(keys.cast("array<string>")).alias("_tile"))
+        placed, left = greedy_level(pairs, cap, at_once)
         out.append(placed.select(F.col("_id").alias(record), F.lit(z).alias("zoom_level")))
-        rest = Cut(rest.join(left, "_id", "left_semi"), "rest").df
-        if not rest.limit(1).count():
+        survivors = Cut(left, "left")
+        if not survivors.count():
             break
+        rest = base.join(survivors.df, "_id", "left_semi")
     return reduce(DataFrame.unionByName, out)
 
 

@@ -88,10 +88,9 @@ def geo_to_store(features: DataFrame, path: str, max_per_tile: int = 20, tile_si
 def _stratify(rows: DataFrame, path: str, info: TilesetInfo, order: list[str], tiles: list, cap: int) -> TilesetInfo:
     from tilewright.runtime import Cut
 
-    known = Cut(rows.select("*", *[t.alias(f"_t{z}") for z, t in enumerate(tiles)]).withColumn("uid", F.monotonically_increasing_id()), "rows").df
-    keys = [f"_t{z}" for z in range(len(tiles))]
-    zooms = placement.place(known, "uid", "importance", [F.col(k) for k in keys], cap)
-    write_store(known.drop(*keys).join(zooms, "uid"), path, info, "zoom_level", order)
+    known = Cut(rows.withColumn("uid", F.monotonically_increasing_id()), "rows").df
+    zooms = placement.place(known, "uid", "importance", tiles, cap)
+    write_store(known.join(zooms, "uid"), path, info, "zoom_level", order)
     return info
 
 
