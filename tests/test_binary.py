@@ -5,7 +5,10 @@ import zlib
 import pytest
 
 from tests.test_problems import rows
-from tilewright.sources.binary import Bbi, bbi_chromsizes, read_bam, read_bbi
+from tilewright.functions.encode import decode_dense
+from tilewright.sources.binary import Bbi, bbi_chromsizes, bbi_reductions, interval_db, read_bam, read_bbi, read_sqlite
+from tilewright.tilesets.dense import BigWigTileset
+from tilewright.tilesets.records import BigBedTileset, StoredPairTileset, StoredTileset
 
 
 def bgzf(data: bytes, size: int) -> tuple[bytes, list[int]]:
@@ -85,12 +88,91 @@ def test_bigwig(spark, tmp_path, packed):
     got = read_bbi(spark, str(path), 1)
     assert rows(got) == want and got.rdd.getNumPartitions() == 3
     assert bbi_chromsizes(str(path)).offsets == {"c1": 0, "c2": 1000}
+    some = read_bbi(spark, str(path), 1, ranges=[("c1", 30, 60), ("cX", 0, 9)])
+    assert rows(some) == want[2:4] and some.rdd.getNumPartitions() == 1
+    t = BigWigTileset(spark, str(path), tile_size=64)
+    z = t.info().max_zoom
+    tile = decode_dense(t.tiles([f"u.{z}.0"])[0][1])
+    assert tile[:10].tolist() == [1.5] * 10
+    assert tile[10:30].tolist() == [2] * 20 and tile[30] == 0 and tile[50:55].tolist() == [3] * 5
+
+
+def with_summaries(data: bytes, reduction: int, blocks: list) -> bytes:
+    """A file with a zoom level, whose summaries and index stand at its end."""
+    body, items, at = b"", [], len(data) + 24
+    data = data[:64] + struct.pack("<IIQQ", reduction, 0, at, at + sum(len(b[3]) for b in blocks)) + data[64:]
+    for c, s, e, raw in blocks:
+        items.append(struct.pack("<IIIIQQ", c, s, c, e, at + len(body), len(raw)))
+        body += raw
+    tree = struct.pack("<IIQIIIIQII", 0x2468ACE0, 256, len(items), 0, 0, 1, 500, 0, 1, 0) + struct.pack("<BBH", 1, 0, len(items)) + b"".join(items)
+    return data + body + tree
+
+
+def shifted(data: bytes, by: int) -> bytes:
+    """The places in the header and the trees of a file of ``bbi_file`` moved by what is put in behind the header."""
+    raw = bytearray(data)
+    tree, body, index = struct.unpack_from("<QQQ", raw, 8)
+    struct.pack_into("<H", raw, 6, 1)
+    struct.pack_into("<QQQ", raw, 8, tree + by, body + by, index + by)
+    nodes = [index + 48]
+    while nodes:
+        at = nodes.pop()
+        leaf, _, n = struct.unpack_from("<BBH", raw, at)
+        for k in range(n):
+            place = at + 4 + k * (32 if leaf else 24) + 16
+            (offset,) = struct.unpack_from("<Q", raw, place)
+            struct.pack_into("<Q", raw, place, offset + by)
+            if not leaf:
+                nodes.append(offset)
+    return bytes(raw)
+
+
+def test_summaries_of_a_bigwig(spark, tmp_path):
+    section = lambda c, s, e, items: struct.pack("<IIIIIBBH", c, s, e, 0, 0, 1, 0, len(items)) + b"".join(struct.pack("<IIf", *i) for i in items)
+    blocks = [(0, 0, 60, section(0, 0, 60, [(0, 10, 1.0), (10, 30, 4.0)])), (1, 5, 25, section(1, 5, 25, [(5, 25, 2.0)]))]
+    zoom = [(0, 0, 16, struct.pack("<IIIIffff", 0, 0, 16, 16, 1, 4, 34, 106)), (0, 16, 32, struct.pack("<IIIIffff", 0, 16, 32, 14, 4, 4, 56, 224)), (1, 0, 32, struct.pack("<IIIIffff", 1, 0, 32, 20, 2, 2, 40, 80))]
+    path = tmp_path / "z.bw"
+    path.write_bytes(with_summaries(shifted(bbi_file(0x888FFC26, blocks, False), 24), 16, zoom))
+    assert bbi_reductions(str(path)) == [16] and len(rows(read_bbi(spark, str(path)))) == 3
+    assert rows(read_bbi(spark, str(path), ranges=[("c1", 20, 30)], reduction=16)) == [("c1", 16, 32, 14, 4.0, 4.0, 56.0, 224.0)]
+    t = BigWigTileset(spark, str(path), tile_size=32)
+    z = t.info().max_zoom - 5  # bins of 32 bases
+    got = {m: decode_dense(t.tiles([f"u.{z}.0.{m}"])[0][1])[0] for m in ("mean", "min", "max", "sum")}
+    assert got == {"mean": 3, "min": 1, "max": 4, "sum": 90}
+    fine = decode_dense(t.tiles([f"u.{z + 5}.0"])[0][1])
+    assert fine[:10].tolist() == [1] * 10 and fine[10:30].tolist() == [4] * 20
+
+
+def test_sqlite_stores(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "a.beddb")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE tileset_info (zoom_step INT, max_length INT, assembly TEXT, chrom_names TEXT, chrom_sizes TEXT, tile_size REAL, max_zoom INT, max_width REAL, header TEXT, version INT)")
+    con.execute("INSERT INTO tileset_info VALUES (1, 4000, 'x', 'c1\tc2', '3000\t1000', 1024, 2, 4096, '', 3)")
+    con.execute("CREATE TABLE intervals (id INT PRIMARY KEY, zoomLevel INT, importance REAL, startPos INT, endPos INT, chrOffset INT, uid TEXT, name TEXT, fields TEXT)")
+    con.executemany("INSERT INTO intervals VALUES (?, ?, ?, ?, ?, ?, ?, ?, ?)", [(i, i % 3, i / 7, 40 * i, 40 * i + 60, 0, f"u{i}", "", f"c1\t{40 * i}") for i in range(90)])
+    con.commit()
+    assert read_sqlite(spark, path, "intervals", split_rows=25).count() == 90 and read_sqlite(spark, path, "intervals", "zoomLevel = 1").count() == 30
+    t = StoredTileset(spark, *interval_db(spark, path))
+    got = {r["uid"] for r in t.tiles(["u.1.1"])[0][1]}
+    assert got == {f"u{i}" for i in range(90) if i % 3 <= 1 and 40 * i < 4096 and 40 * i + 60 > 2048}
+    con.execute("DROP TABLE intervals")
+    con.execute("CREATE TABLE intervals (id INT PRIMARY KEY, zoomLevel INT, importance REAL, fromX INT, toX INT, fromY INT, toY INT, chrOffset INT, uid TEXT, fields TEXT)")
+    con.execute("INSERT INTO intervals VALUES (1, 0, 1.5, 10, 20, 3000, 3010, 0, 'p', 'a\tb')")
+    con.commit()
+    con.close()
+    pair = StoredPairTileset(spark, *interval_db(spark, path))
+    assert [(i, [r["fields"] for r in p]) for i, p in pair.tiles(["u.1.0.1", "u.1.1.0"])] == [("u.1.0.1", [["a", "b"]]), ("u.1.1.0", [])]
 
 
 def test_bigbed(spark, tmp_path):
     record = lambda c, s, e, rest: struct.pack("<III", c, s, e) + rest + b"\0"
     path = tmp_path / "a.bb"
     path.write_bytes(bbi_file(0x8789F2EB, [(0, 1, 9, record(0, 1, 5, b"n\t7") + record(0, 4, 9, b"")), (1, 2, 3, record(1, 2, 3, b"x"))]))
+    t = BigBedTileset(spark, str(path), tile_size=64)
+    assert [r["fields"] for r in t.tiles(["u.0.0"])[0][1]] == [["c1", "1", "5", "n", "7"], ["c1", "4", "9"], ["c2", "2", "3", "x"]]
+    assert [r["fields"] for r in t.tiles([f"u.{t.info().max_zoom}.15"])[0][1]] == [["c2", "2", "3", "x"]]
     assert rows(read_bbi(spark, str(path))) == [("c1", 1, 5, None, "n\t7"), ("c1", 4, 9, None, None), ("c2", 2, 3, None, "x")]
 
 

@@ -7,6 +7,7 @@ folder. A BAM file with an index (``.bai``) is split at record starts that the i
 from __future__ import annotations
 
 import gzip
+import json
 import os
 import struct
 import zlib
@@ -209,6 +210,11 @@ class Bbi:
         self.tree, _, self.index = struct.unpack_from(self.order + "QQQ", raw, 8)
         self.packed = struct.unpack_from(self.order + "I", raw, 52)[0] > 0
         self.f = f
+        #: reduction (bases of a summary) -> place of its index, finest first
+        self.zooms = {}
+        for _ in range(struct.unpack_from(self.order + "H", raw, 6)[0]):
+            reduction, _, _, index = self._unpack("IIQQ")
+            self.zooms[reduction] = index
 
     def _unpack(self, form: str) -> tuple:
         return struct.unpack(self.order + form, self.f.read(struct.calcsize(self.order + form)))
@@ -231,16 +237,19 @@ class Bbi:
                     nodes.append(self._unpack("Q")[0])
         return out
 
-    def blocks(self) -> list[tuple[int, int]]:
-        """(offset, size) of all data blocks, in file order."""
-        self.f.seek(self.index)
+    def blocks(self, ranges: list[tuple[int, int, int]] | None = None, reduction: int | None = None) -> list[tuple[int, int]]:
+        """(offset, size) of data blocks in file order: all of them, or those that may meet one of the ``ranges`` (contig, start, end). Of the
+        index only the nodes above them are read. ``reduction``: the blocks of summaries of so many bases."""
+        index = self.index if reduction is None else self.zooms[reduction]
+        self.f.seek(index)
         if self._unpack("I")[0] != _RTREE:
             raise ValueError("the index is damaged")
-        out, nodes = [], [self.index + 48]
+        meets = lambda i: ranges is None or any((i[0], i[1]) < (c, e) and (i[2], i[3]) > (c, s) for c, s, e in ranges)
+        out, nodes = [], [index + 48]
         while nodes:
             self.f.seek(nodes.pop())
             leaf, _, n = self._unpack("BBH")
-            items = [self._unpack("IIIIQQ" if leaf else "IIIIQ") for _ in range(n)]
+            items = [i for _ in range(n) if meets(i := self._unpack("IIIIQQ" if leaf else "IIIIQ"))]
             if leaf:
                 out += [i[4:] for i in items]
             else:
@@ -268,6 +277,14 @@ class Bbi:
             yield name, at, item[1] if kind == 1 else at + span, float(item[-1]), None
 
 
+    def summaries(self, offset: int, size: int, contigs: dict[int, tuple[str, int]]) -> Iterator[tuple]:
+        """(chrom, start, end, covered, min, max, sum, squares) of a block of summaries."""
+        self.f.seek(offset)
+        raw = self.f.read(size)
+        for number, start, end, covered, *stats in struct.iter_unpack(self.order + "IIIIffff", zlib.decompress(raw) if self.packed else raw):
+            yield contigs[number][0], start, end, covered, *map(float, stats)
+
+
 @dataclass
 class _BbiSplit(InputPartition):
     blocks: list
@@ -277,14 +294,23 @@ class _BbiSplit(InputPartition):
         self.blocks = blocks
 
 
+_BBI_ROWS = pa.schema([("chrom", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.float64()), ("rest", pa.string())])
+_BBI_SUMMARIES = pa.schema([("chrom", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("covered", pa.int64())] + [(n, pa.float64()) for n in ("min", "max", "sum", "squares")])
+
+
 class _BbiReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.size = int(options.get("splitbytes", 16 << 20))
+        self.ranges = json.loads(options["ranges"]) if "ranges" in options else None
+        self.reduction = int(options["reduction"]) if "reduction" in options else None
 
     def partitions(self):
         with open(self.path, "rb") as f:
-            blocks = Bbi(f).blocks()
+            b = Bbi(f)
+            numbers = {name: k for k, (name, _) in b.contigs().items()}
+            ranges = None if self.ranges is None else [(numbers[c], s, e) for c, s, e in self.ranges if c in numbers]
+            blocks = b.blocks(ranges, self.reduction)
         out, held, size = [], [], 0
         for b in blocks:
             held.append(b)
@@ -295,11 +321,11 @@ class _BbiReader(DataSourceReader):
         return out + [_BbiSplit(held)] * bool(held or not out)
 
     def read(self, split):
-        schema = pa.schema([("chrom", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.float64()), ("rest", pa.string())])
         with open(self.path, "rb") as f:
             b = Bbi(f)
             contigs = b.contigs()
-            yield from _batches((row for block in split.blocks for row in b.rows(*block, contigs)), schema)
+            rows, schema = (b.rows, _BBI_ROWS) if self.reduction is None else (b.summaries, _BBI_SUMMARIES)
+            yield from _batches((row for block in split.blocks for row in rows(*block, contigs)), schema)
 
 
 class BbiSource(DataSource):
@@ -308,16 +334,33 @@ class BbiSource(DataSource):
         return "tilewright_bbi"
 
     def schema(self) -> str:
+        if "reduction" in self.options:
+            return "chrom string, start bigint, end bigint, covered bigint, min double, max double, sum double, squares double"
         return "chrom string, start bigint, end bigint, value double, rest string"
 
     def reader(self, schema) -> DataSourceReader:
         return _BbiReader(self.options)
 
 
-def read_bbi(spark: SparkSession, path: str, split_bytes: int = 16 << 20) -> DataFrame:
-    """(chrom, start, end, value, rest): the base-resolution intervals of a bigWig file or the records of a bigBed file."""
+def read_bbi(spark: SparkSession, path: str, split_bytes: int = 16 << 20, ranges: list[tuple[str, int, int]] | None = None, reduction: int | None = None) -> DataFrame:
+    """(chrom, start, end, value, rest): the base-resolution intervals of a bigWig file or the records of a bigBed file.
+
+    ``ranges`` (chrom, start, end): only the blocks that the file's index names for them are read, and what they hold beside the ranges
+    is left in. ``reduction``: the stored summaries of so many bases, (chrom, start, end, covered, min, max, sum, squares).
+    """
     spark.dataSource.register(BbiSource)
-    return spark.read.format("tilewright_bbi").option("splitBytes", split_bytes).load(path)
+    reader = spark.read.format("tilewright_bbi").option("splitBytes", split_bytes)
+    if ranges is not None:
+        reader = reader.option("ranges", json.dumps(ranges))
+    if reduction is not None:
+        reader = reader.option("reduction", reduction)
+    return reader.load(path)
+
+
+def bbi_reductions(path: str) -> list[int]:
+    """The bases of the stored summaries, finest first."""
+    with open(path, "rb") as f:
+        return sorted(Bbi(f).zooms)
 
 
 def bbi_chromsizes(path: str):
@@ -327,3 +370,83 @@ def bbi_chromsizes(path: str):
     with open(path, "rb") as f:
         found = Bbi(f).contigs()
     return Chromsizes(found[i] for i in sorted(found))
+
+
+# ------------------------------------------------------------------------------------------------ SQLite
+
+
+@dataclass
+class _RowSplit(InputPartition):
+    lo: int
+    hi: int
+
+    def __init__(self, lo, hi):
+        super().__init__((lo, hi))
+        self.lo, self.hi = lo, hi
+
+
+class _SqliteReader(DataSourceReader):
+    def __init__(self, options: dict[str, str], schema):
+        self.path, self.table, self.where = options["path"], options["table"], options.get("where", "1")
+        self.rows, self.schema = int(options.get("splitrows", 1_000_000)), schema
+
+    def _open(self):
+        import sqlite3
+
+        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+
+    def partitions(self):
+        con = self._open()
+        lo, hi = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+        con.close()
+        return [_RowSplit(0, 0)] if lo is None else [_RowSplit(a, min(hi + 1, a + self.rows)) for a in range(lo, hi + 1, self.rows)]
+
+    def read(self, split):
+        con = self._open()
+        names = ", ".join(f'"{f.name}"' for f in self.schema)
+        kinds = {"bigint": int, "double": float, "string": str, "binary": bytes}
+        casts = [kinds[f.dataType.simpleString()] for f in self.schema]
+        for row in con.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid >= ? AND rowid < ? AND ({self.where})', (split.lo, split.hi)):
+            yield tuple(None if v is None else c(v) for c, v in zip(casts, row))
+        con.close()
+
+
+class SqliteSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "tilewright_sqlite"
+
+    def schema(self) -> str:
+        import sqlite3
+
+        con = sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
+        columns = con.execute(f'PRAGMA table_info("{self.options["table"]}")').fetchall()
+        con.close()
+        kind = lambda t: "bigint" if "INT" in t else "double" if any(k in t for k in ("REAL", "FLOA", "DOUB")) else "binary" if "BLOB" in t else "string"
+        return ", ".join(f"`{c[1]}` {kind(c[2].upper())}" for c in columns)
+
+    def reader(self, schema) -> DataSourceReader:
+        return _SqliteReader(self.options, schema)
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, where: str | None = None, split_rows: int = 1_000_000) -> DataFrame:
+    """A table of an SQLite file, read in ranges of row numbers. ``where``: a condition that the file answers with its own indexes."""
+    spark.dataSource.register(SqliteSource)
+    reader = spark.read.format("tilewright_sqlite").option("table", table).option("splitRows", split_rows)
+    return (reader.option("where", where) if where else reader).load(path)
+
+
+def interval_db(spark: SparkSession, path: str):
+    """(records, info) of an SQLite store of placed intervals or pairs, ready for ``StoredTileset`` and ``StoredPairTileset``."""
+    from tilewright.model.coords import Chromsizes
+    from tilewright.model.info import TilesetInfo
+
+    head = read_sqlite(spark, path, "tileset_info").first().asDict()
+    sizes = Chromsizes(zip(head["chrom_names"].split("\t"), map(int, str(head["chrom_sizes"]).split("\t"))))
+    rows = read_sqlite(spark, path, "intervals")
+    names = {"startPos": "x_start", "endPos": "x_end", "fromX": "x_start", "toX": "x_end", "fromY": "y_start", "toY": "y_end", "chrOffset": "x_offset", "zoomLevel": "zoom_level"}
+    rows = rows.withColumnsRenamed({k: v for k, v in names.items() if k in rows.columns})
+    info = TilesetInfo(int(head["tile_size"]), int(head["max_zoom"]), int(head["max_width"]), None, tuple(zip(sizes.names, sizes.lengths)), (0,), (sizes.total_length,))
+    from pyspark.sql import functions as F
+
+    return rows.withColumn("fields", F.split("fields", "\t")), info

@@ -60,7 +60,8 @@ class SignalTileset(DenseTileset):
         for z, width in widths.items():
             binsize = width // size
             here = places.where(F.col("z") == z)
-            hit = overlap.join_tiles(self.values(binsize), here, {z: width}, runs={z: self.runs(places)[z]})
+            runs = self.runs(places)[z]
+            hit = overlap.join_tiles(self.values(binsize, [(a * width, (b + 1) * width) for a, b in runs]), here, {z: width}, runs={z: runs})
             stats = self.stats(hit.withColumns({"_a": F.greatest("x_start", F.col("x") * width), "_b": F.least("x_end", (F.col("x") + 1) * width)}), binsize)
             cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(s).alias("v")) for i, s in enumerate(shown)]))
             rows = stats.select("z", "x", "bin", cells.alias("_c"))
@@ -69,8 +70,8 @@ class SignalTileset(DenseTileset):
                 inside[z, r["x"]] = (1, self._inside(r["x"], width, binsize, len(shown)))
         return self.filled(parts, (size * len(shown),), 0.0, inside)
 
-    def values(self, binsize: int) -> DataFrame:
-        """The intervals from which bins of this size are made."""
+    def values(self, binsize: int, spans: list[tuple[int, int]]) -> DataFrame:
+        """The intervals from which bins of this size are made; those outside the absolute ``spans`` may be missing."""
         return self.records
 
     def stats(self, hit: DataFrame, binsize: int) -> DataFrame:
@@ -90,6 +91,35 @@ class SignalTileset(DenseTileset):
         return dense_payload(self._blank(t.pos[0], width, width // self._info.tile_size, len(MODES[t.modifier])))
 
 
+class BigWigTileset(SignalTileset):
+    """A bigWig file: of the file's index only what the requested tiles meet is followed, and wide bins are made from the stored
+    summaries, the widest of which is at most half a bin. Deviations of summaries are those of their bases."""
+
+    def __init__(self, spark: SparkSession, path: str, chromsizes: Chromsizes | None = None, tile_size: int = 1024, policy: TilePolicy | None = None):
+        from tilewright.sources import binary
+
+        super().__init__(spark, None, chromsizes or binary.bbi_chromsizes(path), tile_size, policy)
+        self.path, self.sizes, self.reductions = path, Chromsizes(self._info.chromsizes), binary.bbi_reductions(path)
+
+    def _reduction(self, binsize: int) -> int | None:
+        return max((r for r in self.reductions if 2 * r <= binsize), default=None)
+
+    def values(self, binsize, spans):
+        from tilewright.sources.binary import read_bbi
+
+        ranges = [(g.name, g.start, g.end) for lo, hi in spans for g in self.sizes.invert(lo, hi) if not g.is_out_of_bounds]
+        return overlap.to_absolute(read_bbi(self.spark, self.path, ranges=ranges, reduction=self._reduction(binsize)), self.sizes.frame(self.spark))
+
+    def stats(self, hit, binsize):
+        if self._reduction(binsize) is None:
+            return super().stats(hit, binsize)
+        parts = signal.spread(hit.where("covered > 0"), "_a", "_b", binsize)
+        share = F.col("bases") / (F.col("x_end") - F.col("x_start"))
+        sums = parts.groupBy("z", "x", "bin").agg(F.sum(F.col("covered") * share).alias("_n"), F.sum(F.col("sum") * share).alias("_s"), F.sum(F.col("squares") * share).alias("_q"), F.min("min").alias("min"), F.max("max").alias("max"))
+        mean = F.col("_s") / F.col("_n")
+        return sums.select("z", "x", "bin", mean.alias("mean"), "min", "max", F.sqrt(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))).alias("std"), F.col("_s").alias("sum"))
+
+
 class VectorTileset(DenseTileset):
     """Multi-row vectors (level, chrom, bin, row, value) at doubling resolutions; cells without a value are 0.
 

@@ -54,10 +54,15 @@ class AnnotationTileset(Tileset):
     def fetch(self, places, widths, modifier, settings):
         if self.policy.max_scan_bytes is not None:
             self.policy.check_scan(scan_bytes(self.records))
-        hit = overlap.join_tiles(self.records, places, widths, runs=self.runs(places))
+        runs = self.runs(places)
+        hit = overlap.join_tiles(self.source([(a * widths[z], (b + 1) * widths[z]) for z, r in runs.items() for a, b in r]), places, widths, runs=runs)
         best = cap_per_group(hit, self.key, self.policy.max_records, F.col("importance").desc(), F.col("uid").desc())
         return self.grouped(_wire(best), "xStart")
 
+    def source(self, spans: list[tuple[int, int]]) -> DataFrame:
+        """The records; those outside the absolute ``spans`` may be missing."""
+        return self.records
+
     def empty(self, t: TileId):
         return []
 
@@ -82,6 +87,27 @@ def _wire(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in ("z", "x", "y") if c in df.columns], *[c for c in _SHOWN if c in df.columns])
 
 
+class BigBedTileset(AnnotationTileset):
+    """A bigBed file, of which a batch of tiles reads the blocks that its index names for them."""
+
+    def __init__(self, spark: SparkSession, path: str, chromsizes: Chromsizes | None = None, policy: TilePolicy | None = None, tile_size: int = 1024):
+        from tilewright.sources.binary import bbi_chromsizes
+
+        self.path, self.sizes = path, chromsizes or bbi_chromsizes(path)
+        super().__init__(spark, None, TilesetInfo.quadtree(self.sizes, tile_size), policy)
+        self.records = self._read(None)
+
+    def _read(self, ranges: list | None) -> DataFrame:
+        from tilewright.sources.binary import read_bbi
+
+        bed = overlap.to_absolute(read_bbi(self.spark, self.path, ranges=ranges), self.sizes.frame(self.spark))
+        own = F.array(F.col("chrom"), F.col("start").cast("string"), F.col("end").cast("string"))
+        return _identified(bed.withColumn("fields", F.when(F.coalesce("rest", F.lit("")) == "", own).otherwise(F.concat(own, F.split("rest", "\t")))))
+
+    def source(self, spans):
+        return self._read([(g.name, g.start, g.end) for lo, hi in spans for g in self.sizes.invert(lo, hi) if not g.is_out_of_bounds])
+
+
 class PairTileset(AnnotationTileset):
     """Pairs in two dimensions: a tile shows those whose anchors meet its columns and rows."""
 
