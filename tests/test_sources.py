@@ -2,6 +2,7 @@ import gzip
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_problems import rows
 from tilewright import cli
@@ -66,6 +67,19 @@ def test_bedgraph_vectors_points_matrix_geo(spark, put):
     assert rows(geo.select("min_lng", "min_lat", "max_lng", "max_lat", "properties")) == [(0.0, -3.0, 2.5, 1.0, '{"a":1}')]
 
 
+def test_options_of_bed_and_vector_files(spark, put):
+    bed = text.read_bed(spark, put("d.bed", "name;start;end;chrom\na;5;9;c1\nb;x;9;c1\n"), ";", (3, 1, 2), -1)
+    assert rows(bed) == [("c1", 4, 8, "a")]
+    v = text.read_vectors(spark, [put("e", "c1\t0\t10\tid:1,qcat:[[0.5,2],[1.5,0],[-1,1]]\n")], 3, "epilogos")
+    assert [r["values"] for r in v.collect()] == [[1.5, -1, 0.5]]
+    v = text.read_vectors(spark, [put("s", "c1\t0\t10\tB\nc1\t10\t20\tX\n")], kind="states", states=["A", "B"])
+    assert {r["start"]: r["values"] for r in v.collect()} == {0: [0, 1], 10: [0, 0]}
+    v = text.read_vectors(spark, [put("o", "c1\t0\t10\t3|4\n")], 2, parse=lambda f: F.split(f[0], "\\|").cast("array<double>"))
+    assert [r["values"] for r in v.collect()] == [[3, 4]]
+    with pytest.raises(ValueError):
+        text.read_vectors(spark, [], kind="other")
+
+
 def test_annotation_tiles(spark, put):
     bed = put("b.bed", "".join(f"c1\t{i * 10}\t{i * 10 + 15}\tn{i}\n" for i in range(200)) + "cX\t1\t2\n")
     t = AnnotationTileset.from_bed(spark, bed, SIZES, TilePolicy(max_records=5), tile_size=512)

@@ -35,12 +35,17 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--max-per-tile", type=int, default=100)
         p.add_argument("--tile-size", type=int, default=size)
         p.add_argument("--chromosome")
+        if name == "bedfile":
+            p.add_argument("--delimiter")
+            p.add_argument("--offset", type=int, default=0, help="added to both positions")
+            p.add_argument("--columns", type=int, nargs=3, default=(1, 2, 3), help="numbers of chromosome, start and end; header lines have no position and drop out")
     p = command(aggregate, "geojson", sizes=False)
     p.add_argument("--max-per-tile", type=int, default=20)
     p.add_argument("--max-zoom", type=int, default=19)
     p = command(convert, "bedfile_to_multivec", many=True)
     p.add_argument("--base-resolution", type=int, default=1)
     p.add_argument("--num-rows", type=int, default=1)
+    p.add_argument("--format", choices=("values", "epilogos", "states"), default="values")
     p.add_argument("--tile-size", type=int, default=256)
     p.add_argument("--method", choices=("sum", "logsumexp", "min", "max"), default="sum")
     p.add_argument("--row-infos")
@@ -67,14 +72,15 @@ def main(argv: list[str] | None = None) -> None:
         values = text.read_bedgraph(spark, a.input, a.nan_value, a.transform == "exp2", a.closed_interval, tuple(c - 1 for c in a.columns))
         stores.bedgraph_to_store(values, sizes, a.output, a.tile_size, a.zoom_step)
     elif a.command == "bedfile":
-        stores.bed_to_store(text.read_bed(spark, a.input), sizes, a.output, a.importance_column, a.max_per_tile, a.tile_size, a.chromosome)
+        bed = text.read_bed(spark, a.input, a.delimiter, tuple(c - 1 for c in a.columns), a.offset)
+        stores.bed_to_store(bed, sizes, a.output, a.importance_column, a.max_per_tile, a.tile_size, a.chromosome)
     elif a.command == "bedpe":
         stores.bedpe_to_store(text.read_bedpe(spark, a.input), sizes, a.output, a.importance_column or "random", a.max_per_tile, a.tile_size, a.chromosome)
     elif a.command == "geojson":
         stores.geo_to_store(text.read_geojson(spark, a.input), a.output, a.max_per_tile, max_zoom=a.max_zoom)
     elif a.command == "bedfile_to_multivec":
         infos = open(a.row_infos).read().splitlines() if a.row_infos else None
-        stores.vectors_to_store(text.read_vectors(spark, a.input, a.num_rows), sizes, a.output, a.base_resolution, a.tile_size, a.method, infos)
+        stores.vectors_to_store(text.read_vectors(spark, a.input, a.num_rows, a.format, infos), sizes, a.output, a.base_resolution, a.tile_size, a.method, infos)
     elif a.command == "multivec":  # Parquet of chrom, start, values
         infos = open(a.row_infos).read().splitlines() if a.row_infos else None
         stores.vectors_to_store(spark.read.parquet(a.input), sizes, a.output, a.starting_resolution, a.tile_size, a.method, infos)

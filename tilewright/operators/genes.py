@@ -18,13 +18,15 @@ PARTS = ("exon", "CDS")
 
 
 def features(df: DataFrame) -> DataFrame:
-    """(type, id, parent, chrom, lo, hi, strand): 0-based half-open features with their first parent, one row per type, id and span."""
+    """(type, id, parent, chrom, lo, hi, strand): 0-based half-open features with their first parent, one row per type, id and span; parsed once and written."""
     from tilewright.operators.gff_parents import parent_of
+    from tilewright.runtime import Cut
 
     parent = parent_of(F.col("attributes"), F.col("type"), first=True)
     own = F.coalesce("id", F.concat_ws("_", "type", "start", "end"))
     rows = df.select("type", own.alias("id"), parent.alias("parent"), "chrom", (F.col("start") - 1).alias("lo"), F.col("end").alias("hi"), "strand")
-    return rows.distinct()
+    # a gene model reads them many times, and parsing the attributes is most of the work
+    return Cut(rows.distinct(), "features").df
 
 
 def _entities(f: DataFrame, types: tuple[str, ...]) -> DataFrame:

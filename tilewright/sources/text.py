@@ -6,12 +6,15 @@ rejected lines matter.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tilewright.functions import reads
-from tilewright.functions.columns import default_vector, strand, variant_end
+from tilewright.functions.columns import default_vector, epilogos_vector, states_vector, strand, variant_end
 from tilewright.model.coords import Chromsizes, natural_key
 from tilewright.operators.gff_parents import percent_decoded
 
@@ -55,10 +58,21 @@ def _placed(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def read_bed(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(chrom, start, end, rest): 0-based half-open; ``rest`` holds all further columns, tab-joined. Header lines have no position and drop out."""
-    f = lines(spark, path).withColumn("_f", F.split("value", "\t", 4))
-    return _placed(f.select(_field(0).alias("chrom"), _long(1).alias("start"), _long(2).alias("end"), _field(3).alias("rest")), "start", "end")
+def read_bed(spark: SparkSession, path: str | list[str], delimiter: str | None = None, columns: tuple[int, int, int] = (0, 1, 2), offset: int = 0) -> DataFrame:
+    """(chrom, start, end, rest): 0-based half-open; ``rest`` holds all further columns, tab-joined. Header lines have no position and drop out.
+
+    ``delimiter``: another separator than a tab. ``columns``: places of the three fields; all others are the rest. ``offset`` is added to both
+    positions.
+    """
+    f = lines(spark, path)
+    if delimiter is None and columns == (0, 1, 2):
+        f = f.withColumn("_f", F.split("value", "\t", 4)).withColumn("_rest", _field(3))
+    else:
+        f = f.withColumn("_f", F.split("value", re.escape("\t" if delimiter is None else delimiter)))
+        others = F.filter("_f", lambda _, i: ~i.isin(*columns))
+        f = f.withColumn("_rest", F.when(F.size(others) > 0, F.array_join(others, "\t")))
+    c, s, e = columns
+    return _placed(f.select(_field(c).alias("chrom"), (_long(s) + offset).alias("start"), (_long(e) + offset).alias("end"), F.col("_rest").alias("rest")), "start", "end")
 
 
 def read_bedpe(spark: SparkSession, path: str) -> DataFrame:
@@ -194,14 +208,26 @@ def read_bedgraph(spark: SparkSession, path: str, nan_value: str = "NA", exp2: b
     return _placed(f.select(_field(c).alias("chrom"), _long(s).alias("start"), (_long(e) + int(closed)).alias("end"), value.alias("value")), "start", "end")
 
 
-def read_vectors(spark: SparkSession, paths: list[str], width: int = 1) -> DataFrame:
-    """(chrom, start, end, values): bed files of value columns, put side by side by their common intervals.
+def read_vectors(spark: SparkSession, paths: list[str], width: int = 1, kind: str = "values", states: list[str] | None = None, parse: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(chrom, start, end, values): bed files put side by side by their common intervals.
 
+    ``kind``: ``values`` are columns of numbers, ``epilogos`` a field ``...:[[value, index], ...]``, ``states`` the name of one of ``states``,
+    and ``parse`` is a column builder of one's own from the array of fields to an array of ``width`` doubles.
     An interval that one of the files lacks raises no error but leaves NaN, and ``NA`` is NaN too.
     """
+    if kind not in ("values", "epilogos", "states"):
+        raise ValueError(f"{kind!r} is none of values, epilogos, states")
+    width = len(states or []) if kind == "states" else width
+    fields = F.split(F.coalesce("rest", F.lit("")), "\t")
+    if parse is None:
+        parse = {
+            "values": lambda f: default_vector(f, width),
+            "epilogos": lambda f: epilogos_vector(F.get(f, F.lit(0))),
+            "states": lambda f: states_vector(F.get(f, F.lit(0)), states or []).cast("array<double>"),
+        }[kind]
     out = None
     for i, p in enumerate(paths):
-        one = read_bed(spark, p).select("chrom", "start", "end", default_vector(F.split(F.coalesce("rest", F.lit("")), "\t"), width).alias(f"_v{i}"))
+        one = read_bed(spark, p).select("chrom", "start", "end", parse(fields).alias(f"_v{i}"))
         out = one if out is None else out.join(one, ["chrom", "start", "end"], "full")
     empty = F.array_repeat(F.lit(float("nan")), width)
     return out.select("chrom", "start", "end", F.flatten(F.array(*[F.coalesce(f"_v{i}", empty) for i in range(len(paths))])).alias("values"))
