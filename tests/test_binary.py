@@ -6,6 +6,8 @@ import pytest
 
 from tests.test_problems import rows
 from tilewright.functions.encode import decode_dense
+from tilewright.model.coords import Chromsizes
+from tilewright.model.errors import UnsupportedOption
 from tilewright.sources.binary import Bbi, bbi_chromsizes, bbi_reductions, interval_db, read_bam, read_bbi, read_sqlite
 from tilewright.tilesets.dense import BigWigTileset
 from tilewright.tilesets.records import BigBedTileset, StoredPairTileset, StoredTileset
@@ -94,6 +96,11 @@ def test_bigwig(spark, tmp_path, packed):
     z = t.info().max_zoom
     tile = decode_dense(t.tiles([f"u.{z}.0"])[0][1])
     assert tile[:10].tolist() == [1.5] * 10
+    swapped = BigWigTileset(spark, str(path), tile_size=64, alternates={"other": Chromsizes([("c2", 1000), ("c1", 1000)])})
+    shown = dict(swapped.tiles([f"u.{z}.0", f"u.{z}.0,cos:other"]))
+    assert decode_dense(shown[f"u.{z}.0"]).tolist() == tile.tolist() and decode_dense(shown[f"u.{z}.0,cos:other"])[:18].tolist() == [0] * 5 + [5] * 2 + [0] * 8 + [6] * 2 + [0]
+    with pytest.raises(UnsupportedOption):
+        swapped.tiles([f"u.{z}.0,cos:unknown"])
     assert tile[10:30].tolist() == [2] * 20 and tile[30] == 0 and tile[50:55].tolist() == [3] * 5
 
 

@@ -198,6 +198,28 @@ def scored(a, b, match=1, mismatch=-4, gap_open=-6, gap_extend=-1):
     return total
 
 
+def test_distances_of_all_pairs():
+    rnd = random.Random(9)
+    seqs = ["".join(rnd.choice("ACG") for _ in range(rnd.choice((0, 1, 7, 20)))) for _ in range(12)]
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        return row[-1]
+
+    def _next(row, x, b):
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(max(row[j], new[j - 1], row[j - 1] + (x == y)))
+        return new
+
+    got = reads.distance_matrix(seqs)
+    assert all(got[i, j] == (0 if i == j else 150 - common(seqs[i], seqs[j])) for i in range(12) for j in range(12))
+    with pytest.raises(ValueError):
+        reads.distance_matrix(seqs, most=3)
+
+
 def test_alignments_of_a_batch():
     rnd = random.Random(5)
     a, b = (["".join(rnd.choice("ACGN") for _ in range(rnd.choice((0, 1, 2, 9, 24)))) for _ in range(150)] for _ in range(2))

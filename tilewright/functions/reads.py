@@ -302,6 +302,20 @@ def alignment_score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         yield pd.Series(out)
 
 
+def distance_matrix(seqs: list[str], longest: int = 150, most: int = 2_000) -> np.ndarray:
+    """``longest`` less the number of equal letters of the best alignment of each two sequences (gaps and mismatches cost nothing).
+
+    All pairs of the few sequences of one view; more than ``most`` are refused.
+    """
+    n = len(seqs)
+    if n > most:
+        raise ValueError(f"more than {most} sequences")
+    i, j = np.triu_indices(n, 1)
+    out = np.zeros((n, n))
+    out[i, j] = longest - alignment_scores([seqs[k] for k in i], [seqs[k] for k in j], 1, 0, 0, 0)
+    return out + out.T
+
+
 def cluster_order(distances: np.ndarray) -> list[int]:
     """Leaves in the order of an average-linkage tree; of equal distances the first pair is joined. For the few sequences of one view."""
     d = np.array(distances, float)

@@ -120,17 +120,26 @@ def near(runs: Runs, widths: dict[int, int], start: str, end: str) -> Column:
 def with_tiles(df: DataFrame, widths: dict[int, int], start: str, end: str, runs: Runs | None = None, name: str = "x") -> DataFrame:
     """A row per record, zoom and tile met, with z and the position ``name``. ``widths``: tile width of each zoom. ``runs``: only
     positions between the first and the last requested one of a zoom."""
-    hull = {z: (r[0][0], r[-1][1]) for z, r in (runs or {}).items()}
-    struct = lambda z, w: F.struct(F.lit(z).alias("z"), *[F.lit(v).cast("bigint").alias(n) for n, v in zip("wab", (w, *hull.get(z, ())))])
-    at = df.withColumn("_l", F.explode(F.array(*[struct(z, w) for z, w in widths.items()])))
-    return _tiles_of(at, F.col("_l.w"), start, end, name, runs is not None).withColumn("z", F.col("_l.z")).drop("_l")
+    at = df.withColumn("_l", levels(widths, runs))
+    return at.withColumn(name, F.explode(tiles_met(start, end, runs is not None))).withColumn("z", F.col("_l.z")).drop("_l")
 
 
-def _tiles_of(df: DataFrame, width: Column, start: str, end: str, name: str, cut: bool) -> DataFrame:
-    lo, hi = F.col(start), F.col(end)
+def _level(z: int, w: int, runs: Runs | None) -> Column:
+    ends = (runs[z][0][0], runs[z][-1][1]) if runs else ()
+    return F.struct(F.lit(z).alias("z"), *[F.lit(v).cast("bigint").alias(n) for n, v in zip("wab", (w, *ends))])
+
+
+def levels(widths: dict[int, int], runs: Runs | None) -> Column:
+    """A row a zoom: its number ``z``, tile width ``w`` and, with ``runs``, the first and the last requested tile ``a`` and ``b``."""
+    return F.explode(F.array(*[_level(z, w, runs) for z, w in widths.items()]))
+
+
+def tiles_met(start: str, end: str, cut: bool) -> Column:
+    """The tiles of [start, end) at the level in the column ``_l``, with ``cut`` only those from ``a`` to ``b``."""
+    lo, hi, width = F.col(start), F.col(end), F.col("_l.w")
     if cut:
         lo, hi = F.greatest(lo, F.col("_l.a") * width), F.least(hi, (F.col("_l.b") + 1) * width)
-    return df.withColumn(name, F.explode(tile_range(lo, hi, width)))
+    return tile_range(lo, hi, width)
 
 
 def join_tiles(records: DataFrame, tiles: DataFrame, widths: dict[int, int], start: str = "x_start", end: str = "x_end", runs: Runs | None = None) -> DataFrame:
@@ -148,7 +157,6 @@ def join_tiles_2d(
     if runs is not None:
         records = records.where(near(runs[0], widths, *xs) & near(runs[1], widths, *ys))
     across = with_tiles(records, widths, *xs, runs[0] if runs else None)
-    hull = {z: (r[0][0], r[-1][1]) for z, r in runs[1].items()} if runs else {}
-    level = F.create_map(*[x for z, w in widths.items() for x in (F.lit(z), F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip("wab", (w, *hull.get(z, ())))]))])
-    both = _tiles_of(across.withColumn("_l", level[F.col("z")]), F.col("_l.w"), *ys, "y", runs is not None).drop("_l")
+    level = F.create_map(*[x for z, w in widths.items() for x in (F.lit(z), _level(z, w, runs[1] if runs else None))])
+    both = across.withColumn("_l", level[F.col("z")]).withColumn("y", F.explode(tiles_met(*ys, runs is not None))).drop("_l")
     return both.join(tiles, ["z", "x", "y"])

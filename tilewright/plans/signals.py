@@ -174,10 +174,10 @@ _MATRIX = "m AS (SELECT vec_id AS row, unnest(range(len(embedding))) AS col, CAS
     f"WITH {_MATRIX}, v0 AS (SELECT * FROM m)"
     + "".join(f", v{k} AS (SELECT row // 2 AS row, col // 2 AS col, sum(value) AS value FROM v{k - 1} GROUP BY row // 2, col // 2)" for k in range(1, 6))
     + " "
-    + " UNION ALL ".join(f"SELECT {k} AS level, row, CAST(col AS BIGINT) AS col, round(value, 4) AS value FROM v{k}" for k in range(1, 6))
+    + " UNION ALL ".join(f"SELECT {k} AS level, row, CAST(col AS BIGINT) AS col, round(value, 4) AS value FROM v{k}" for k in range(6))
 )
 def matrix_coarsen(spark, d):
-    out = signal.matrix_pyramid(matrix(spark, d), "row", "col", "value", 6).where("level > 0")
+    out = signal.matrix_pyramid(matrix(spark, d), "row", "col", "value", 6)
     return out.select("level", "row", F.col("col").cast("bigint").alias("col"), F.round("value", 4).alias("value"))
 
 
@@ -360,11 +360,21 @@ def read_mates(spark, d):
     return pairs.with_mates(r, r.where("pos < 500"))
 
 
-@query()
+_MD_SEQ = "translate(substr(md5(cast(l_orderkey as string)), 1, 16), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+@query(f"""WITH r AS (SELECT l_orderkey, l_partkey, l_linenumber, {_MD_SEQ.replace('string', 'VARCHAR')} AS seq, CAST((l_linenumber + l_suppkey) % 12 AS INTEGER) AS k, l_partkey % 2 AS kind FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(k + CASE WHEN kind = 0 AND k >= 4 THEN 2 ELSE 0 END AS INTEGER) AS query_pos, CAST(k + CASE WHEN kind = 1 AND k >= 4 THEN 3 ELSE 0 END AS INTEGER) AS ref_pos,
+  substr(seq, CAST(k + CASE WHEN kind = 0 AND k >= 4 THEN 2 ELSE 0 END AS BIGINT) + 1, 1) AS base, 'N' AS ref FROM r""")
 def md_variants(spark, d):
-    rows = [("ACGTACGT", "3A4", "8M"), ("ACGTTACG", "4^GG4", "4M2D4M"), ("ACGGGTAC", "2T3", "3M2I3M"), (None, None, None)]
-    df = spark.createDataFrame(rows, "seq string, md string, cigar string")
-    return df.select("cigar", F.explode(reads.md_variants("seq", "md", "cigar")).alias("v")).select("cigar", "v.query_pos", "v.ref_pos", "v.base", "v.ref")
+    """Reads with one mismatch, before or behind an insertion of two bases or a deletion of three."""
+    at, kind = "((l_linenumber + l_suppkey) % 12)", "(l_partkey % 2)"
+    li = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.expr(_MD_SEQ).alias("seq"), F.expr(f"if({kind} = 0, '4M2I10M', '4M3D12M')").alias("cigar"),
+        F.expr(f"case when {kind} = 0 then concat({at}, 'N', 13 - {at}) when {at} < 4 then concat({at}, 'N', 3 - {at}, '^GGG', 12) else concat('4^GGG', {at} - 4, 'N', 15 - {at}) end").alias("md"),
+    )
+    found = li.select("l_orderkey", "l_linenumber", "l_partkey", F.explode(reads.md_variants("seq", "md", "cigar")).alias("v"))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "v.query_pos", "v.ref_pos", "v.base", "v.ref")
 
 
 _SEQ = "translate(substr(md5(p_name), 1, 24), '0123456789abcdef', 'ACGTACGTACGTACGN')"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.encode import dense_payload, tile_of_cells
 from tilewright.model.coords import Chromsizes
-from tilewright.model.errors import MalformedTileId
+from tilewright.model.errors import MalformedTileId, UnsupportedOption
 from tilewright.model.info import TilesetInfo
 from tilewright.model.policies import TilePolicy
 from tilewright.model.tileid import ModifierSpec, TileId
@@ -93,13 +93,35 @@ class SignalTileset(DenseTileset):
 
 class BigWigTileset(SignalTileset):
     """A bigWig file: of the file's index only what the requested tiles meet is followed, and wide bins are made from the stored
-    summaries, the widest of which is at most half a bin. Deviations of summaries are those of their bases."""
+    summaries, the widest of which is at most half a bin. Deviations of summaries are those of their bases.
 
-    def __init__(self, spark: SparkSession, path: str, chromsizes: Chromsizes | None = None, tile_size: int = 1024, policy: TilePolicy | None = None):
+    The option ``cos`` of a tile id names another order of contigs among ``alternates``, by which that tile is served.
+    """
+
+    options = frozenset({"cos"})
+
+    def __init__(
+        self, spark: SparkSession, path: str, chromsizes: Chromsizes | None = None, tile_size: int = 1024, policy: TilePolicy | None = None, alternates: dict[str, Chromsizes] | None = None
+    ):
         from tilewright.sources import binary
 
         super().__init__(spark, None, chromsizes or binary.bbi_chromsizes(path), tile_size, policy)
         self.path, self.sizes, self.reductions = path, Chromsizes(self._info.chromsizes), binary.bbi_reductions(path)
+        self.alternates = {k: BigWigTileset(spark, path, c, tile_size, policy) for k, c in (alternates or {}).items()}
+
+    def tiles(self, ids, options=None):
+        by: dict[str | None, list[str]] = {}
+        for i in ids:
+            by.setdefault(TileId.parse(i, self.ndim, self.modifiers, self.options).option("cos"), []).append(i)
+        if unknown := set(by) - {None} - set(self.alternates):
+            raise UnsupportedOption(f"no coordinates are called {sorted(unknown)}")
+        out = dict(super().tiles(by.pop(None, []), options))
+        for name, some in by.items():
+            other = self.alternates[name]
+            plain = [i.partition(",")[0] for i in some]
+            got = dict(other.tiles(plain, options))
+            out |= {i: got[p] for i, p in zip(some, plain)}
+        return [(i, out[i]) for i in ids]
 
     def _reduction(self, binsize: int) -> int | None:
         return max((r for r in self.reductions if 2 * r <= binsize), default=None)

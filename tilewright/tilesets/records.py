@@ -138,25 +138,19 @@ class LinkTileset(PairTileset):
         self.links = links
 
     def fetch(self, places, widths, modifier, settings):
-        r = self.records
-        if self.links is LinkPolicy.HULL:
-            one = F.array(F.struct(F.least("x_start", "y_start").alias("a"), F.greatest("x_end", "y_end").alias("b")))
-            both = F.array(F.struct(F.col("x_start").alias("a"), F.col("x_end").alias("b")), F.struct(F.col("y_start").alias("a"), F.col("y_end").alias("b")))
-            spans = F.when(F.col("x_offset") == F.col("y_offset"), one).otherwise(both) if "x_offset" in r.columns else one
-        else:
-            spans = F.array(F.struct(F.col("x_start").alias("a"), F.col("x_end").alias("b")), F.struct(F.col("y_start").alias("a"), F.col("y_end").alias("b")))
-        runs = self.runs(places)
-        hull = overlap.near(runs, widths, "x_start", "x_end") | overlap.near(runs, widths, "y_start", "y_end")
-        if self.links is LinkPolicy.HULL:
-            r = r.withColumns({"_a": F.least("x_start", "y_start"), "_b": F.greatest("x_end", "y_end")})
-            r, hull = r.where(overlap.near(runs, widths, "_a", "_b")).drop("_a", "_b"), F.lit(True)
-        r = r.where(hull)
-        parts = r.select("*", F.posexplode(spans).alias("_side", "_s")).select("*", F.col("_s.a").alias("_a"), F.col("_s.b").alias("_b"))
-        hit = overlap.join_tiles(parts, places, widths, "_a", "_b", runs)
-        shown = hit.groupBy(*self.key, *r.columns).agg(F.count_distinct("_side").alias("_sides"))
+        r, runs = self.records, self.runs(places)
+        r = r.withColumns({"_a": F.least("x_start", "y_start"), "_b": F.greatest("x_end", "y_end")})
+        side = overlap.near(runs, widths, "x_start", "x_end") | overlap.near(runs, widths, "y_start", "y_end")
+        at = r.where(overlap.near(runs, widths, "_a", "_b") if self.links is LinkPolicy.HULL else side).withColumn("_l", overlap.levels(widths, runs))
+        x, y, hull = (overlap.tiles_met(*c, True) for c in (("x_start", "x_end"), ("y_start", "y_end"), ("_a", "_b")))
         if self.links is LinkPolicy.BOTH:
-            shown = shown.where("_sides = 2")
-        best = cap_per_group(shown, self.key, self.policy.max_records, F.col("importance").desc(), F.col("uid").desc())
+            met = F.array_intersect(x, y)
+        elif self.links is LinkPolicy.EITHER:
+            met = F.array_union(x, y)
+        else:  # pairs between contigs have no span
+            met = F.when(F.col("x_offset") == F.col("y_offset"), hull).otherwise(F.array_union(x, y)) if "x_offset" in r.columns else hull
+        hit = at.withColumn("x", F.explode(met)).withColumn("z", F.col("_l.z")).drop("_l", "_a", "_b").join(places, ["z", "x"])
+        best = cap_per_group(hit, self.key, self.policy.max_records, F.col("importance").desc(), F.col("uid").desc())
         return self.grouped(_wire(best), "xStart")
 
 
