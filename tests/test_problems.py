@@ -5,6 +5,8 @@ from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tilewright.operators import hotkeys, orphans, strict_load
@@ -195,6 +197,16 @@ def test_bitmaps_are_stored_short_and_equal():
         assert len(stored) == min(2 * n, 8192) and np.flatnonzero(np.unpackbits(orphans.bits_of(stored))).tolist() == sorted(low.tolist())
 
 
+def test_doubt_of_many_months_is_one_array_a_column():
+    refs = pd.DataFrame([("a" * (k % 3), "f", k, 5, orphans.packed(np.arange(k, 60_000))) for k in range(40)], columns=["table_name", "ref_field", "_month", "_range", "_map"])
+    parents = pd.DataFrame([(10, False, orphans.packed(np.arange(0, 65_536))), (20, True, orphans.packed(np.array([30_000])))], columns=["_month", "_gone", "_map"])
+    out = orphans._doubtful(refs, parents)
+    assert all(isinstance(pa.array(out[c]), pa.Array) for c in out.columns)
+    want = {k: 60_000 - k if k < 10 else k >= 20 for k in range(40)}
+    assert {k: int((out["_month"] == k).sum()) for k in want} == want and set(out.loc[out["_month"] > 20, "_code"]) == {(5 << 16) + 30_000}
+    assert len(orphans._doubtful(refs[:0], parents)) == 0
+
+
 # ----------------------------------------------------------------------------------------------- periods
 
 

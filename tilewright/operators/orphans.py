@@ -65,18 +65,18 @@ def _doubtful(refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
     """The codes of one range whose parents are not safe in the month of the references."""
     events = sorted(zip(parents["_month"], parents["_gone"], parents["_map"]))
     seen, gone = np.zeros(_RANGE // 8, np.uint8), np.zeros(_RANGE // 8, np.uint8)
-    at, out = 0, []
+    at, found = 0, []
     for r in refs.sort_values("_month").itertuples(index=False):
         # withdrawals of the month itself count, appearances of it do not: those are stored as of the next one
         while at < len(events) and events[at][0] <= r[2]:
             target = gone if events[at][1] else seen
             np.bitwise_or(target, bits_of(events[at][2]), out=target)
             at += 1
-        left = bits_of(r[4]) & ~(seen & ~gone)
-        codes = np.flatnonzero(np.unpackbits(left))
-        if len(codes):
-            out.append(pd.DataFrame({"table_name": r[0], "ref_field": r[1], "_month": r[2], "_code": codes + (int(r[3]) << _BITS)}))
-    return pd.concat(out) if out else pd.DataFrame({"table_name": [], "ref_field": [], "_month": [], "_code": []})
+        codes = np.flatnonzero(np.unpackbits(bits_of(r[4]) & ~(seen & ~gone)))
+        found.append((r[0], r[1], r[2], codes + (int(r[3]) << _BITS)))
+    times = [len(f[3]) for f in found]
+    column = lambda i, kind: pd.Series(np.repeat(np.array([f[i] for f in found], kind), times), dtype=kind)
+    return pd.DataFrame({"table_name": column(0, object), "ref_field": column(1, object), "_month": column(2, np.int32), "_code": np.concatenate([f[3] for f in found] or [np.zeros(0, np.int64)])})
 
 
 def _numbered(dictionary: DataFrame, by: list[str]) -> DataFrame:
