@@ -462,8 +462,9 @@ def vector_tiles(spark, d):
 s AS (SELECT bin1_id AS a, bin2_id AS b, "count" AS c FROM px UNION ALL SELECT bin2_id, bin1_id, "count" FROM px WHERE bin1_id <> bin2_id),
 v AS (SELECT a, b, c, c * p.weight * q.weight AS balanced FROM s JOIN w p ON p.bin_id = a JOIN w q ON q.bin_id = b)
 SELECT 'u.0.1.0.' || kind AS tile, CAST(y * 200 + x AS INTEGER) AS i,
-  round(CAST(CAST(CASE WHEN x + 200 >= 256 THEN 'NaN'::DOUBLE ELSE coalesce(CASE kind WHEN 'none' THEN c ELSE balanced END, 0) END AS FLOAT) AS DOUBLE), 6) AS value
-FROM (VALUES ('none'), ('default')) k(kind), range(200) r(y), range(200) t(x) LEFT JOIN v ON a = y AND b = x + 200""")
+  round(CAST(CAST(CASE WHEN x + 200 >= 256 OR kind = 'default' AND (wy.weight IS NULL OR wx.weight IS NULL) THEN 'NaN'::DOUBLE ELSE coalesce(CASE kind WHEN 'none' THEN c ELSE balanced END, 0) END AS FLOAT) AS DOUBLE), 6) AS value
+FROM (VALUES ('none'), ('default')) k(kind), range(200) r(y), range(200) t(x) LEFT JOIN v ON a = y AND b = x + 200
+LEFT JOIN w wy ON wy.bin_id = y LEFT JOIN w wx ON wx.bin_id = x + 200""")
 def contact_tiles(spark, d):
     """Counts and balanced contacts of a tile that the matrix does not fill."""
     path, px = folder(spark, "store"), pixels(spark, d)

@@ -197,7 +197,8 @@ class VectorTileset(DenseTileset):
 class ContactTileset(DenseTileset):
     """Contacts (resolution, bin1_id, bin2_id, count) with optional weights (resolution, bin_id, weight): x are columns, y rows.
 
-    The modifier ``default`` balances, ``None`` shows counts; cells past the genome are NaN, absent contacts 0.
+    The modifier ``default`` balances, ``none`` shows counts; cells past the genome and, if balanced, those of bins without a weight are NaN,
+    absent contacts 0.
     """
 
     ndim = 2
@@ -223,10 +224,25 @@ class ContactTileset(DenseTileset):
             at = ((F.col("bin1_id") - F.col("y") * size) * size + F.col("bin2_id") - F.col("x") * size).cast("int")
             parts.append(full.join(here, self.key).select(*self.key, at.alias("_at"), F.col("count").cast("double").alias("_v")))
             n = -(-self.total // binsize)
+            if modifier == "default" and self.weights is not None:
+                parts += self._weightless(here, binsize, n)
             for r in here.collect():
                 inside[z, r["x"], r["y"]] = tuple(min(size, max(0, n - r[axis] * size)) for axis in "yx")
         return self.filled(parts, (size, size), 0.0, inside)
 
+    def _weightless(self, here: DataFrame, binsize: int, n: int) -> list[DataFrame]:
+        """NaN for every cell of the rows and columns whose bin has no weight."""
+        size, out = self._info.tile_size, []
+        known = self.weights.where((F.col("resolution") == binsize) & F.col("weight").isNotNull() & ~F.isnan("weight")).select(F.col("bin_id").alias("_bin"))
+        for axis, other in ("yx", "xy"):
+            last = lambda c: F.least((F.col(c) + 1) * size, F.lit(n)) - 1
+            bins = here.where(F.col(axis) * size < n).where(F.col(other) * size < n).withColumn("_bin", F.explode(F.sequence(F.col(axis) * size, last(axis))))
+            lost = bins.join(known, "_bin", "left_anti").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), last(other) - F.col(other) * size)))
+            place = F.col("_bin") - F.col(axis) * size
+            at = place * size + F.col("_i") if axis == "y" else F.col("_i") * size + place
+            out.append(lost.select(*self.key, at.cast("int").alias("_at"), F.lit(float("nan")).alias("_v")))
+        return out
+
     def _blank(self, x: int, y: int, binsize: int) -> np.ndarray:
         size = self._info.tile_size
         n = -(-self.total // binsize)
