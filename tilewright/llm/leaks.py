@@ -372,13 +372,13 @@ class Pairs:
             bands = np.concatenate([2 * (diagonal // wide), 2 * ((diagonal + wide // 2) // wide) + 1])
             axis = np.sort(bands * far + np.concatenate([places, places]))
             near = []
-            n, widest = int(self.need[k]), max(span for _, span in self.bars[k])
+            n, widest = self.bars[k][0][0], self.bars[k][-1][1]
             if n > len(axis) or (axis[n - 1 :] - axis[: len(axis) - n + 1]).min() >= widest:
                 continue
             for n, span in self.bars[k]:
                 if n > len(axis):
                     break
-                first = np.flatnonzero(axis[n - 1 :] - axis[: len(axis) - n + 1] < span)
+                first = (axis[n - 1 :] - axis[: len(axis) - n + 1] < span).nonzero()[0]
                 if len(first):
                     near += zip(np.maximum(axis[first + n - 1] % far - span, 0).tolist(), np.minimum(axis[first] % far + span + 1, len(doc)).tolist())
             if near:
@@ -386,12 +386,13 @@ class Pairs:
 
 
 def _bars(low: int, high: int, share: float) -> list[tuple[int, int]]:
-    """What an alignment keeps of a passage of each length: at least so many pairs on at most so many words of the document."""
-    out = []
+    """What an alignment keeps of a passage: at least so many pairs on at most so many words of the document, for each number of pairs the most words."""
+    out: dict[int, int] = {}
     for n in range(low, high + 1):
-        least = int(least_score(n, share))
-        out.append((max(1, least - n - 1), max(1, 3 * n - least)))
-    return sorted(out)
+        least = _least(n, share)
+        pairs = max(1, least - n - 1)
+        out[pairs] = max(out.get(pairs, 1), 3 * n - least)
+    return sorted(out.items())
 
 
 def least_score(words: int | np.ndarray, share: float) -> np.ndarray:
@@ -399,6 +400,11 @@ def least_score(words: int | np.ndarray, share: float) -> np.ndarray:
     return np.ceil(MATCH * share * np.asarray(words, np.int64) - 1e-9).astype(np.int64)
 
 
+@cache
+def _least(words: int, share: float) -> int:
+    return int(least_score(words, share))
+
+
 def passages(doc: np.ndarray, item: np.ndarray, low: int, share: float = 0.0) -> tuple[int, int]:
     """(score, words) of the item's passage of ``low`` to ``2 * low - 1`` words with the best share of a full match, the longest of equals.
 
@@ -416,7 +422,7 @@ def passages(doc: np.ndarray, item: np.ndarray, low: int, share: float = 0.0) ->
         good = np.zeros(len(starts), bool)
         for n in range(low, most + 1):
             at = starts[: m - n + 1]
-            good[: len(at)] |= equal[at + n] - equal[at] + pairs[at + n - 1] - pairs[at] >= least_score(n, share) - 1
+            good[: len(at)] |= equal[at + n] - equal[at] + pairs[at + n - 1] - pairs[at] >= _least(n, share) - 1
         starts = starts[good]
         if not len(starts):
             return 0, low
@@ -485,7 +491,7 @@ def _alignments(documents: DataFrame, rows: list, item_type, share: float, doc_i
                     item, low = items.coded[k], int(pairs.low[k])
                     found = [passages(doc[a:b], item, low, share) for a, b in places]
                     best, n = max(found, key=lambda f: (f[0] / f[1], f[1]))
-                    if best >= least_score(n, share):
+                    if best >= _least(n, share):
                         out.append((i, items.ids[k], best, n, max(align(doc[a:b], item)[1] for a, b in places), len(item)))
             ids, found, *numbers = list(zip(*out)) or [()] * 6
             yield _pairs(ids, found, numbers, batch.schema.field(0).type, item_arrow, ["score", "passage_words", "run", "item_words"])
