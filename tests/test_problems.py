@@ -116,6 +116,12 @@ def test_tree_aggregate(spark):
         hotkeys.tree_aggregate(df, ["k"], {"x": ("mode", F.col("v"))})
 
 
+def test_more_partitions_than_counted(spark):
+    df = spark.range(1000).selectExpr("id % 3 as k").repartition(40)
+    for leaves in (1, 3, 40):
+        assert rows(hotkeys.tree_aggregate(df, ["k"], {"n": ("count", F.lit(1))}, 2, leaves)) == [(0, 334), (1, 333), (2, 333)]
+
+
 def test_a_merge_reads_few_states(spark):
     df = spark.range(0, 10_000, 1, 64).selectExpr("id % 2 as k")
     plan = hotkeys.tree_aggregate(df, ["k"], {"n": ("count", F.lit(1))}, 4)._jdf.queryExecution().executedPlan().toString()

@@ -49,13 +49,12 @@ def tree_aggregate(
         *[value.alias(f"_v{i}") for i, (_, value) in enumerate(aggs.values())],
         F.expr(f"spark_partition_id() div {fan_in}").alias("_node"),
     )
+    # the last round merges by key alone, so that a key comes out once even if the input has more partitions when it is run
     nodes = -(-leaves // fan_in)
-    tree = tree.groupBy(*key_names, "_node").agg(*first)
+    tree = tree.groupBy(*key_names, *["_node"][: nodes > 1]).agg(*first)
     while nodes > 1:
-        tree = tree.withColumn("_node", F.expr(f"_node div {fan_in}")).groupBy(*key_names, "_node").agg(*merge)
         nodes = -(-nodes // fan_in)
-    # one node is left by now, unless the input has more partitions when it is run than were counted
-    tree = tree.groupBy(*key_names).agg(*merge)
+        tree = tree.withColumn("_node", F.expr(f"_node div {fan_in}")).groupBy(*key_names, *["_node"][: nodes > 1]).agg(*merge)
     out = [F.col(n).alias(k) for k, n in zip(keys, key_names)]
     for i, (name, (kind, _)) in enumerate(aggs.items()):
         if kind == "avg":
