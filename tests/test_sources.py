@@ -4,13 +4,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
+from tests.oracle import differences
 from tests.test_problems import rows
 from tilewright import cli
 from tilewright.functions.encode import decode_dense
 from tilewright.model.coords import Chromsizes
-from tilewright.model.errors import MalformedTileId
+from tilewright.model.errors import MalformedTileId, TileOutOfBounds, TileTooLarge
 from tilewright.model.info import TilesetInfo
 from tilewright.model.policies import LinkPolicy, TilePolicy
+from tilewright.plans import files
 from tilewright.sources import stores, text
 from tilewright.tilesets.dense import ContactTileset, SignalTileset, VectorTileset
 from tilewright.tilesets.records import AnnotationTileset, LinkTileset, PairTileset, ReadsTileset, SequenceTileset, StoredTileset
@@ -187,3 +190,36 @@ def test_too_many_contigs_are_refused(spark, put, monkeypatch):
     for w in ways:
         with pytest.raises(ValueError, match="more than 2 contigs"):
             w()
+
+
+def test_rows_of_tiles_are_what_tiles_show(spark, put):
+    def same(t, ids):
+        keep = lambda r: {k: v for k, v in r.asDict().items() if k != "tile" and v is not None}
+        got = sorted(((r["tile"], keep(r)) for r in t.rows(ids).collect()), key=repr)
+        assert got == sorted(((i, r) for i, p in t.tiles(ids) for r in p), key=repr)
+        return len(got)
+
+    bed = put("b.bed", "".join(f"c1\t{i * 10}\t{i * 10 + 15}\tn{i}\n" for i in range(200)) + "cX\t1\t2\n")
+    t = AnnotationTileset.from_bed(spark, bed, SIZES, TilePolicy(max_records=5, max_scan_bytes=None), tile_size=512)
+    assert same(t, ["u.0.0", "u.4.1", "v.4.1", "u.4.7", "u.0.0"]) == 20 and t.rows([]).count() == 0
+    with pytest.raises(TileOutOfBounds):
+        t.rows(["u.0.0", "u.4.99"])
+    with pytest.raises(MalformedTileId):
+        t.rows(["u.0"])
+    with pytest.raises(TileTooLarge):
+        AnnotationTileset.from_bed(spark, bed, SIZES, TilePolicy(max_scan_bytes=10)).rows(["u.0.0"])
+    p, sizes = put("p.bedpe", "c1\t10\t20\tc1\t180\t190\ta\nc1\t10\t20\tc1\t300\t310\tb\nc1\t140\t150\tc1\t200\t210\tc\n"), Chromsizes([("c1", 1000)])
+    assert same(PairTileset.from_bedpe(spark, p, sizes, tile_size=128), ["u.3.0.1", "u.0.0.0"]) == 4
+    assert [same(LinkTileset.from_bedpe(spark, p, sizes, tile_size=128, links=k), ["u.3.1"]) for k in (LinkPolicy.BOTH, LinkPolicy.EITHER, LinkPolicy.HULL)] == [1, 2, 3]
+    stored = spark.createDataFrame([("a", 0, 0, 10), ("b", 1, 5, 9), ("c", 1, 600, 700)], "uid string, zoom_level int, x_start long, x_end long")
+    assert same(StoredTileset(spark, stored, TilesetInfo.quadtree(SIZES, 512)), ["u.0.0", "u.1.0"]) == 4
+
+
+def test_variants_of_a_tile_stay_with_the_executors(spark, con, monkeypatch):
+    def refused(*_):
+        raise AssertionError("records came to the driver")
+
+    monkeypatch.setattr(AnnotationTileset, "grouped", refused)
+    df = files.vcf_tiles(spark, SMALL)
+    assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    assert differences(df, con, files.SQL["vcf_tiles"]) == ""

@@ -8,11 +8,13 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from dataclasses import dataclass
+from functools import partial
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tilewright.model.errors import TileOutOfBounds
+from tilewright.runtime import local_frame
 
 
 @dataclass(frozen=True)
@@ -117,9 +119,11 @@ class Chromsizes:
             out.append(GenomicRange(len(self.names), None, past - self.total_length, hi - self.total_length))
         return out
 
-    def frame(self, spark: SparkSession) -> DataFrame:
+    def frame(self, spark: SparkSession, sized: bool = False) -> DataFrame:
+        """``sized``: by ``local_frame``, so that a join with few contigs needs no shuffle."""
         rows = [(i, n, length, at) for i, (n, length, at) in enumerate(zip(self.names, self.lengths, self.boundaries))]
-        return spark.createDataFrame(rows, "cid int, chrom string, len bigint, chrom_offset bigint")
+        make = partial(local_frame, spark) if sized else spark.createDataFrame
+        return make(rows, "cid int, chrom string, len bigint, chrom_offset bigint")
 
 
 def quadtree_depth(total: int, tile: int) -> int:

@@ -8,8 +8,10 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _LOCAL_ROOT: dict[str, str] = {}
 
@@ -19,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a relation whose size the planner knows, so that a small one is broadcast at once and what it is
+    joined with stays where it is. A frame of a plain list has no known size; the other side is shuffled before it turns out to be small."""
+    kinds = T.StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(kinds.names, r)) for r in rows], to_arrow_schema(kinds)), kinds)
+
+
 def local_session(app: str = "tilewright", cpus: str = "*", shuffle: int = 8) -> SparkSession:
     """A local session with the settings tests and benches use."""
     return (

@@ -13,6 +13,7 @@ from tilewright.model.policies import LinkPolicy, TilePolicy
 from tilewright.model.tileid import TileId
 from tilewright.operators import genes, overlap
 from tilewright.operators.ranking import cap_per_group
+from tilewright.runtime import local_frame
 from tilewright.sources import text
 from tilewright.tilesets.base import Tileset, page_of, scan_bytes
 
@@ -36,7 +37,7 @@ class AnnotationTileset(Tileset):
     @classmethod
     def from_vcf(cls, spark: SparkSession, path: str, chromsizes: Chromsizes | None = None, policy: TilePolicy | None = None, tile_size: int = 1024) -> AnnotationTileset:
         chromsizes = chromsizes or text.vcf_chromsizes(spark, path)
-        v = overlap.to_absolute(text.read_vcf(spark, path).withColumn("start", F.col("pos") - 1), chromsizes.frame(spark))
+        v = overlap.to_absolute(text.read_vcf(spark, path).withColumn("start", F.col("pos") - 1), chromsizes.frame(spark, sized=True))
         fields = F.array(
             F.col("chrom"), F.col("pos").cast("string"), joined_or_dot(F.col("ids"), ";"), F.col("ref"), joined_or_dot(F.col("alts"), ","), F.coalesce(F.col("qual").cast("string"), F.lit("")), joined_or_dot(F.col("filters"), ";")
         )
@@ -52,12 +53,27 @@ class AnnotationTileset(Tileset):
         return cls(spark, rows.withColumnRenamed("chrom_offset", "x_offset"), TilesetInfo.quadtree(chromsizes, tile_size), policy)
 
     def fetch(self, places, widths, modifier, settings):
+        return self.grouped(self.shown(places, widths), "xStart")
+
+    def rows(self, ids: list[str]) -> DataFrame:
+        """(tile, columns of a record payload): what ``tiles`` shows, in no order and left to the executors, so that a tile may hold any
+        number of records. A tile that cannot be served raises its error."""
+        parsed = [TileId.parse(i, self.ndim, self.modifiers, self.options) for i in ids]
+        for t in parsed:
+            self._screen(t)
+        kinds = "z int, x bigint" + ", y bigint" * (self.ndim == 2)
+        places = sorted({(t.z, *t.pos) for t in parsed}) or [(0,) * (1 + self.ndim)]  # no ids, no rows
+        names = local_frame(self.spark, [(t.raw, t.z, *t.pos) for t in parsed], f"tile string, {kinds}")
+        hit = self.shown(local_frame(self.spark, places, kinds), self._widths(places))
+        return hit.join(names, self.key).select("tile", *[c for c in hit.columns if c not in self.key])
+
+    def shown(self, places: DataFrame, widths: dict[int, int]) -> DataFrame:
+        """The records of all places, by place, with the columns of a payload."""
         if self.policy.max_scan_bytes is not None:
             self.policy.check_scan(scan_bytes(self.records))
         runs = self.runs(places)
         hit = overlap.join_tiles(self.source([(a * widths[z], (b + 1) * widths[z]) for z, r in runs.items() for a, b in r]), places, widths, runs=runs)
-        best = cap_per_group(hit, self.key, self.policy.max_records, F.col("importance").desc(), F.col("uid").desc())
-        return self.grouped(_wire(best), "xStart")
+        return _wire(cap_per_group(hit, self.key, self.policy.max_records, F.col("importance").desc(), F.col("uid").desc()))
 
     def source(self, spans: list[tuple[int, int]]) -> DataFrame:
         """The records; those outside the absolute ``spans`` may be missing."""
@@ -122,10 +138,9 @@ class PairTileset(AnnotationTileset):
         p = p.withColumn("fields", F.when(F.coalesce("rest", F.lit("")) == "", own).otherwise(F.concat(own, F.split("rest", "\t"))))
         return cls(spark, _identified(p), TilesetInfo.quadtree(chromsizes, tile_size, ndim=cls.ndim), policy, **more)
 
-    def fetch(self, places, widths, modifier, settings):
+    def shown(self, places, widths):
         hit = overlap.join_tiles_2d(self.records, places, widths, ("x_start", "x_end"), ("y_start", "y_end"), (self.runs(places), self.runs(places, "y")))
-        best = cap_per_group(hit, self.key, self.policy.max_records, F.col("importance").desc(), F.col("uid").desc())
-        return self.grouped(_wire(best), "xStart")
+        return _wire(cap_per_group(hit, self.key, self.policy.max_records, F.col("importance").desc(), F.col("uid").desc()))
 
 
 class LinkTileset(PairTileset):
@@ -137,7 +152,7 @@ class LinkTileset(PairTileset):
         super().__init__(spark, records, info, policy)
         self.links = links
 
-    def fetch(self, places, widths, modifier, settings):
+    def shown(self, places, widths):
         r, runs = self.records, self.runs(places)
         r = r.withColumns({"_a": F.least("x_start", "y_start"), "_b": F.greatest("x_end", "y_end")})
         side = overlap.near(runs, widths, "x_start", "x_end") | overlap.near(runs, widths, "y_start", "y_end")
@@ -150,25 +165,23 @@ class LinkTileset(PairTileset):
         else:  # pairs between contigs have no span
             met = F.when(F.col("x_offset") == F.col("y_offset"), hull).otherwise(F.array_union(x, y)) if "x_offset" in r.columns else hull
         hit = at.withColumn("x", F.explode(met)).withColumn("z", F.col("_l.z")).drop("_l", "_a", "_b").join(places, ["z", "x"])
-        best = cap_per_group(hit, self.key, self.policy.max_records, F.col("importance").desc(), F.col("uid").desc())
-        return self.grouped(_wire(best), "xStart")
+        return _wire(cap_per_group(hit, self.key, self.policy.max_records, F.col("importance").desc(), F.col("uid").desc()))
 
 
 class StoredTileset(AnnotationTileset):
     """A stratified store: a tile shows all records placed at its zoom or a coarser one, without a further cap."""
 
-    def fetch(self, places, widths, modifier, settings):
+    def shown(self, places, widths):
         deepest = max(widths)
         rows = self.records.where(F.col("zoom_level") <= deepest)
-        hit = overlap.join_tiles(rows, places, widths, runs=self.runs(places)).where(F.col("zoom_level") <= F.col("z"))
-        return self.grouped(_wire(hit), "xStart")
+        return _wire(overlap.join_tiles(rows, places, widths, runs=self.runs(places)).where(F.col("zoom_level") <= F.col("z")))
 
 
 class StoredPairTileset(PairTileset):
-    def fetch(self, places, widths, modifier, settings):
+    def shown(self, places, widths):
         rows = self.records.where(F.col("zoom_level") <= max(widths))
         hit = overlap.join_tiles_2d(rows, places, widths, ("x_start", "x_end"), ("y_start", "y_end"), (self.runs(places), self.runs(places, "y"))).where(F.col("zoom_level") <= F.col("z"))
-        return self.grouped(_wire(hit), "xStart")
+        return _wire(hit)
 
 
 class ReadsTileset(Tileset):
